@@ -1,8 +1,64 @@
-"""The corpus pipeline (stages to come)."""
+"""The corpus pipeline: documents in, token ids of the documents worth training on out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back
+as the next stage's ``docs``; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.llm import decontamination, line_dedup, sentencepiece_codec, simhash, toxicity
+from emberline.llm.queries import table, vocabulary
+from emberline.llm.scratch import materialise
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, does not call toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=0)
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier document holds."""
+    kept = line_dedup.dedup_lines(docs, min_chars=10).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return simhash.keep_one(docs, shingle=3, bits=2)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=5, share=0.8)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, and digests of them and of the text they decode to."""
+    coded = sentencepiece_codec.encode_table(docs, vocabulary(), carry=("lang", "source"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("SimHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: No SQL form: the classifier and the encoder cannot be expressed in it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each result but the last written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, name.replace(" ", "-"))
+    return docs

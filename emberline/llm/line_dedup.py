@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialise, new_path, remove
+from .scratch import materialise, new_path, remove, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -134,12 +134,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = (lines["h1"] == owned["h1"]) & (lines["h2"] == owned["h2"]) & lines["id"].eqNullSafe(owned["__owner"])
     flagged = lines.join(owned, same, "left").select("id", "text_hash", "pos", (lines["h1"].isNull() | F.col("owns").isNotNull()).alias("keep"))
     per_text = flagged.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "keep"))).alias("flags"))
-    flags = materialise(per_text.select(F.col("id").cast(kind).alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("flags.keep").alias("__keep")), "line-flags")
+    bare = docs.drop("n_lines", "n_dropped")
+    own, of_text, hashed, keep = (unused(bare, f"__{n}") for n in ("id", "text_hash", "hash", "keep"))
+    flags = materialise(per_text.select(F.col("id").cast(kind).alias(own), F.col("text_hash").alias(of_text), F.col("flags.keep").alias(keep)), "line-flags")
     runs.drop()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = docs.drop("n_lines", "n_dropped").withColumn("__hash", F.xxhash64(text))
-    joined = bare.join(flags.hint("shuffle_hash"), bare[id_col].eqNullSafe(flags["__id"]) & (bare["__hash"] == flags["__text_hash"]))
-    dropped = F.size(F.filter("__keep", lambda k: ~k)).cast("long")
-    kept = F.array_join(F.zip_with(F.split(text, "\n", -1), F.col("__keep"), lambda line, keep: F.when(keep, line)), "\n")
-    out = [F.when(dropped == 0, text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in bare.columns if c != "__hash"]
-    return joined.select(*out, F.size("__keep").cast("long").alias("n_lines"), dropped.alias("n_dropped"))
+    joined = bare.withColumn(hashed, F.xxhash64(text)).join(flags.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(of_text)))
+    dropped = F.size(F.filter(keep, lambda k: ~k)).cast("long")
+    kept = F.array_join(F.zip_with(F.split(text, "\n", -1), F.col(keep), lambda line, k: F.when(k, line)), "\n")
+    out = [F.when(dropped == 0, text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in bare.columns]
+    return joined.select(*out, F.size(keep).cast("long").alias("n_lines"), dropped.alias("n_dropped"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import bound_batches, materialise
+from .scratch import bound_batches, materialise, unused
 from .text import Words, cuts, windows, xxh64
 
 ONES = np.uint64(0x0101010101010101)
@@ -130,11 +130,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the near copies: of each group the row with the smallest id stays.
+    """``docs`` without the near copies: of each group the rows with the smallest id stay.
 
-    Rows whose id is null stay only if their group holds no other id. Of rows that share
-    both id and group all stay; drop repeated rows beforehand if that is unwanted.
+    Rows that share both id and group stay together. A row with a null id stays, as no
+    other row can be told from it by its id.
     """
+    gone = unused(docs, "__gone")
     groups = simhash_groups(docs, id_col, text_col, **how)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    copies = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(copies, F.col(id_col) == F.col(gone), "left_anti")
