@@ -71,7 +71,7 @@ class Block:
         return self.ids, pack(np.concatenate(self.counts).astype("<u4")), pack_sorted(vocab), pack(codes.astype("<u4"))
 
 
-def blocks(docs: DataFrame, role: Column, id_col: str, text_col: str, tokens: int = 1_200_000) -> DataFrame:
+def blocks(docs: DataFrame, role: Column, id_col: str, text_col: str, tokens: int = 400_000) -> DataFrame:
     """(block, role, n_tokens, ids, counts, vocab, codes): the documents by role, in blocks of about ``tokens`` tokens."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
