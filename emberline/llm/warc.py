@@ -48,8 +48,11 @@ def train(pages: DataFrame, payload_col: str, pages_most: int = 1000, bytes_most
 
     It affects how small the archives get and nothing else.
     """
-    cut = F.substring(F.col(payload_col), 1, bytes_most).alias("s")
-    rows = pages.select(cut).filter("length(s) > 0").orderBy(F.xxhash64("s"), "s").limit(pages_most).collect()
+    body = F.col(payload_col)
+    hashes = pages.select(F.xxhash64(body).alias("h")).filter("h IS NOT NULL").distinct().orderBy("h").limit(pages_most)
+    cut = F.substring(body, 1, bytes_most).alias("s")
+    chosen = pages.select(F.xxhash64(body).alias("h"), cut).filter("length(s) > 0").join(F.broadcast(hashes), "h")
+    rows = chosen.groupBy("h").agg(F.min("s").alias("s")).orderBy("h").collect()
     samples = [r.s.encode() for r in rows]
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
