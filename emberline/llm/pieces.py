@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -119,12 +122,8 @@ class PieceModel:
         self.first_byte, self.last_byte = min(self.id_bytes), max(self.id_bytes)
         self.longest = max(map(len, self.ids))
         self.plain = not self.char_map.units and not self.squeeze and self.prefix and self.escape
-        joined = [p for p in self.ids if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in joined):
-            self.cut = re.compile(r".+", re.S)
-        else:  # a mark of white space only ever begins a piece; some characters stand alone always
-            alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
-            self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        self.cut = re.compile(_cut_pattern([p for p in self.ids if len(p) > 1]))
+        self.source_size = {p: len(p.encode()) - 2 * p.count(SPACE) for p in self.ids}  # a mark stands for a space
         self._pairs: dict[tuple[str, str], bool] = {}
 
     # -- normalisation ---------------------------------------------------------------------
@@ -181,16 +180,19 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """The encoding by its definition: the best-scored neighbours merge first, leftmost on ties."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
+        parts, score, none = list(text), self.scores.get, float("-inf")
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
         return parts
 
     def neighbours(self, left: str, right: str) -> bool:
@@ -240,7 +242,7 @@ class PieceModel:
             before = unit
             yield unit, counts
 
-    def unit_pieces(self, unit: str, short: int = 48) -> list[str]:
+    def unit_pieces(self, unit: str, short: int = 200) -> list[str]:
         """The encoding of a unit, a character without a piece standing for itself.
 
         Up to ``short`` characters merging is the quicker way; beyond it is quadratic.
@@ -305,21 +307,52 @@ def _utf8(data: bytes) -> str:
     return "".join(out)
 
 
+def _cut_pattern(joined: list[str]) -> str:
+    """A pattern for the units of a text: no piece of ``joined`` reaches across where one ends.
+
+    A mark of white space only ever begins a piece; line ends and tabs stand alone; and the
+    signs (characters that are no letters) that share no piece with others run by themselves.
+    """
+    if any(SPACE in p.lstrip(SPACE) for p in joined):
+        return r"(?s:.+)"
+    alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
+    bare = [set(p.lstrip(SPACE)) for p in joined]
+    signs = {c for p in bare for c in p if unicodedata.category(c)[0] in "NPSC"} | set("#$%&()*+,-./:;<=>?@[]^_{|}~!\"'")
+    while mixed := {c for p in bare if p & signs and p - signs for c in p & signs}:
+        signs -= mixed
+    run = "".join(map(re.escape, sorted(signs)))
+    parts = [f"{SPACE}*[^{SPACE}{alone}{run}]+"]
+    if run:
+        parts.append(f"{SPACE}*[{run}]+")
+    parts.append(f"{SPACE}+")
+    if alone:
+        parts.append(f"[{alone}]")
+    return "|".join(parts)
+
+
 class UnitCache(dict):
-    """Units seen lately with what ``make`` gives for them; emptied when it holds ``most``."""
+    """Units seen lately with what ``make`` gives for them, two generations of at most ``most`` in all."""
 
-    def __init__(self, make: Callable, most: int = 800_000) -> None:
+    def __init__(self, make: Callable, most: int = 1_200_000) -> None:
         super().__init__()
         self.make, self.most = make, most
+        self.older: dict = {}
 
     def __missing__(self, unit: str):
-        if len(self) >= self.most:
-            self.clear()
-        value = self.make(unit)
-        if len(unit) <= 64:
-            self[unit] = value
+        value = self.older.get(unit)
+        if value is None:
+            value = self.make(unit)
+            if len(unit) > 64:
+                return value
+        self.keep(unit, value)
         return value
 
+    def keep(self, unit: str, value) -> None:
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = value
+
 
 @lru_cache(maxsize=4)
 def load(path: str) -> PieceModel:
@@ -327,8 +360,16 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def packed(values: list[int]) -> bytes:
+    """``values`` as little-endian unsigned 32-bit integers."""
+    out = array("I", values)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @lru_cache(maxsize=4)
 def id_cache(path: str) -> UnitCache:
     """Unit -> its ids as little-endian unsigned 32-bit integers, per process."""
     model = load(path)
-    return UnitCache(lambda unit: np.array([i for p in model.unit_pieces(unit) for i in model.piece_ids(p)], "<u4").tobytes())
+    return UnitCache(lambda unit: packed([i for p in model.unit_pieces(unit) for i in model.piece_ids(p)]))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, PieceModel, UnitCache, load
+from .pieces import SPACE, PieceModel, UnitCache, load, packed
 from .scratch import bound_batches
 from .text import cuts
 
@@ -28,19 +28,23 @@ def _encoded(model: PieceModel, unit: str) -> tuple[bytes, bytes]:
         ids += own
         size = len(piece.encode())
         sizes += [size] if len(own) == 1 else [1] * size  # a byte piece covers its byte
-    return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+    return packed(ids), packed(sizes)
 
 
-def _quick(model: PieceModel, unit: str) -> tuple[bytes, bytes] | None:
-    """As ``_encoded``, lengths in the source instead, each mark being a space; None if decoding would alter the unit."""
+def _quick(model: PieceModel, unit: str) -> tuple[bytes, bytes, str]:
+    """(ids, length of each in the source, each mark being a space, what the ids decode to within a text)."""
+    pieces = model.unit_pieces(unit)
+    known = model.ids
+    try:
+        return packed([known[p] for p in pieces]), packed([model.source_size[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
+    except KeyError:
+        pass
     ids, sizes = [], []
-    for piece in model.unit_pieces(unit):
+    for piece in pieces:
         own = model.piece_ids(piece)
         ids += own
-        sizes += [len(piece.encode()) - 2 * piece.count(SPACE)] if len(own) == 1 else [1] * len(own)
-    if model.decode([model.ids["a"], *ids]) != "a" + unit.replace(SPACE, " "):
-        return None
-    return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+        sizes += [model.source_size[piece]] if piece in known else [1] * len(own)
+    return packed(ids), packed(sizes), model.decode([known["a"], *ids])[1:]
 
 
 def encode(model: PieceModel, text: str, bos: bool = True, eos: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -68,20 +72,16 @@ def _framed(model: PieceModel, ids: np.ndarray, starts: np.ndarray, ends: np.nda
 
 def encode_cached(model: PieceModel, text: str, cache: UnitCache, bos: bool = True, eos: bool = True) -> tuple[np.ndarray, np.ndarray, str]:
     """(ids, spans, decoded text), the same as by ``encode`` and ``decode``, through a cache of units."""
-    parts = None
-    if text and model.plain and SPACE not in text:
-        parts = [cache[unit] for unit in model.units(text)]
-        if None in parts:
-            parts = None
-    if parts is None:
+    if not text or not model.plain or SPACE in text:
         ids, spans = encode(model, text, bos, eos)
         return ids, spans, model.decode(ids.tolist())
-    ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
-    ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), "<u4"), dtype=np.int64)
+    own, sizes, surfaces = zip(*[cache[unit] for unit in model.units(text)], strict=True)
+    ids = np.frombuffer(b"".join(own), "<u4")
+    ends = np.cumsum(np.frombuffer(b"".join(sizes), "<u4"), dtype=np.int64)
     ends -= 1  # the mark before the text
     starts = np.concatenate([[0], ends[:-1]])
     ids, spans = _framed(model, ids, starts, ends, int(ends[-1]), bos, eos)
-    return ids, spans, text  # every unit decodes to itself, and the added mark to nothing
+    return ids, spans, "".join(surfaces)[1:]  # the added mark decodes to nothing
 
 
 def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -97,7 +97,7 @@ def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        cache = _units.setdefault(model_path, UnitCache(lambda unit: _quick(model, unit), 500_000))
+        cache = _units.setdefault(model_path, UnitCache(lambda unit: _quick(model, unit), 800_000))
         for batch in batches:
             for cut in cuts(batch, "text", 1 << 20):
                 found = [encode_cached(model, t or "", cache, bos, eos) for t in cut.columns[-1].to_pylist()]

@@ -31,16 +31,22 @@ def deltas(model: PieceModel, texts: list[str], cache: UnitCache) -> list[bytes]
         raise ValueError("prefix counts need a model that does not rewrite its text")
     cut = [model.units(text) for text in texts]
     new = {unit for units in cut for unit in units if unit not in cache}
-    if len(cache) + len(new) > cache.most:
-        cache.clear()
-        new = {unit for units in cut for unit in units}
-    own = {}
+    known, own = cache.older, {}
+    for unit in [u for u in new if u in known]:
+        own[unit] = known[unit]
+        new.discard(unit)
     for unit, counts in model.prefix_counts(new):
         own[unit] = _unit_deltas(counts)
-    cache.update((unit, value) for unit, value in own.items() if len(unit) <= 64)
+    if own:  # looked up beside the cache, which may turn over meanwhile
+        found = {u: cache[u] if u in cache else own[u] for units in cut for u in units}
+        for unit, value in own.items():
+            if len(unit) <= 64:
+                cache.keep(unit, value)
+    else:
+        found = cache
     out = []
     for units in cut:
-        whole = b"".join([cache[u] if u in cache else own[u] for u in units])
+        whole = b"".join([found[u] for u in units])
         # the first two belong together: the mark before the text has no code point of its own
         out.append(bytes([(whole[0] + whole[1]) & 255]) + whole[2:] if whole else b"")
     return out
