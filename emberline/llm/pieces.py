@@ -20,6 +20,7 @@ import numpy as np
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+LONG = 64  # units over this many characters are not kept in caches
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -124,7 +125,7 @@ class PieceModel:
         self.plain = not self.char_map.units and not self.squeeze and self.prefix and self.escape
         self.cut = re.compile(_cut_pattern([p for p in self.ids if len(p) > 1]))
         self.source_size = {p: len(p.encode()) - 2 * p.count(SPACE) for p in self.ids}  # a mark stands for a space
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     # -- normalisation ---------------------------------------------------------------------
 
@@ -195,52 +196,68 @@ class PieceModel:
                 scores[at - 1] = score(parts[at - 1] + parts[at], none)
         return parts
 
-    def neighbours(self, left: str, right: str) -> bool:
-        """Whether ``left`` and ``right`` are the encoding of their concatenation; ``left`` may be empty."""
-        key = (left, right)
-        known = self._pairs.get(key)
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether the pieces with these ids are the encoding of their concatenation; ``left`` 0 stands for no piece."""
+        known = self._pairs.get(left << 20 | right)
         if known is None:
-            if len(self._pairs) > 400_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            known = self._pairs[key] = self.merged(left + right) == [x for x in key if x]
+            pieces = [self.pieces[left], self.pieces[right]] if left else [self.pieces[right]]
+            known = self._pairs[left << 20 | right] = self.merged("".join(pieces)) == pieces
         return known
 
-    def prefixes(self, unit: str, counts: list[int] | None = None, last: list[str] | None = None) -> tuple[list[int], list[str]]:
-        """(counts, last): the token count of each prefix of ``unit``, and the last piece of its encoding.
+    def prefixes(self, unit: str, state: tuple[list[int], list[int], list[int]] | None = None) -> tuple[list[int], list[int], list[int]]:
+        """(counts, sizes, last) by prefix of ``unit``: its token count, and the length and id of its encoding's last piece.
 
-        Lists passed in hold what is known of the first prefixes and are extended.
+        A character without a piece merges with nothing; it has id 0, as what comes before the
+        unit has. Only one last piece fits, so the likely ones are tried first: the last
+        piece before with this character added, and this character alone. A ``state`` passed in
+        holds what is known of the first prefixes and is extended.
         """
-        ids, pairs, most = self.ids, self._pairs, self.longest
-        counts, last = ([0], [""]) if counts is None else (counts, last)
+        find, pairs, check, most = self.ids.get, self._pairs.get, self.neighbours, self.longest
+        counts, sizes, last = state or ([0], [0], [0])
         for end in range(len(counts), len(unit) + 1):
-            for begin in range(max(0, end - most), end):
-                piece = unit[begin:end]
-                known = piece in ids
-                if not known and begin < end - 1:
-                    continue
-                before = last[begin]
-                ok = pairs.get((before, piece))
-                if ok is None:
-                    ok = self.neighbours(before, piece)
-                if ok:
-                    last.append(piece)
-                    counts.append(counts[begin] + (1 if known else len(piece.encode())))
-                    break
-            else:
-                raise ValueError(f"no encoding of {unit[:end]!r}")
-        return counts, last
+            alone = find(unit[end - 1])
+            if alone is None:
+                counts.append(counts[end - 1] + len(unit[end - 1].encode()))
+                sizes.append(1)
+                last.append(0)
+                continue
+            size = sizes[end - 1] + 1
+            piece = find(unit[end - size : end]) if last[end - 1] else None
+            if piece is not None:
+                fits = pairs(last[end - size] << 20 | piece)
+                if fits is None:
+                    fits = check(last[end - size], piece)
+            if piece is None or not fits:
+                size, piece = 1, alone
+                fits = pairs(last[end - 1] << 20 | piece)
+                if fits is None:
+                    fits = check(last[end - 1], piece)
+            if not fits:
+                for size in range(min(most, end), 1, -1):
+                    piece = find(unit[end - size : end])
+                    if piece is not None and check(last[end - size], piece):
+                        break
+                else:
+                    raise ValueError(f"no encoding of {unit[:end]!r}")
+            counts.append(counts[end - size] + 1)
+            sizes.append(size)
+            last.append(piece)
+        return counts, sizes, last
 
     def prefix_counts(self, units: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(unit, counts) as by ``prefixes``, in sorted order: a unit starts from what it shares with the one before."""
-        counts, last, before = [0], [""], ""
+        state, before = ([0], [0], [0]), ""
         for unit in sorted(units):
             same, most = 0, min(len(unit), len(before))
             while same < most and unit[same] == before[same]:
                 same += 1
-            del counts[same + 1 :], last[same + 1 :]
-            self.prefixes(unit, counts, last)
+            for known in state:
+                del known[same + 1 :]
+            self.prefixes(unit, state)
             before = unit
-            yield unit, counts
+            yield unit, state[0]
 
     def unit_pieces(self, unit: str, short: int = 200) -> list[str]:
         """The encoding of a unit, a character without a piece standing for itself.
@@ -249,11 +266,11 @@ class PieceModel:
         """
         if len(unit) <= short:
             return self.merged(unit)
-        _, last = self.prefixes(unit)
+        sizes = self.prefixes(unit)[1]
         out, end = [], len(unit)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            out.append(unit[end - sizes[end] : end])
+            end -= sizes[end]
         return out[::-1]
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -342,7 +359,7 @@ class UnitCache(dict):
         value = self.older.get(unit)
         if value is None:
             value = self.make(unit)
-            if len(unit) > 64:
+            if len(unit) > LONG:
                 return value
         self.keep(unit, value)
         return value

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import PieceModel, UnitCache, load
+from .pieces import LONG, PieceModel, UnitCache, load
 from .scratch import bound_batches
 from .text import cuts
 
@@ -30,28 +30,25 @@ def deltas(model: PieceModel, texts: list[str], cache: UnitCache) -> list[bytes]
     if not model.plain:
         raise ValueError("prefix counts need a model that does not rewrite its text")
     cut = [model.units(text) for text in texts]
-    new = {unit for units in cut for unit in units if unit not in cache}
-    known, own = cache.older, {}
-    for unit in [u for u in new if u in known]:
-        own[unit] = known[unit]
+    new = set().union(*cut).difference(cache)
+    for unit in [u for u in new if u in cache.older]:
+        cache.keep(unit, cache.older[unit])
         new.discard(unit)
-    for unit, counts in model.prefix_counts(new):
-        own[unit] = _unit_deltas(counts)
-    if own:  # looked up beside the cache, which may turn over meanwhile
-        found = {u: cache[u] if u in cache else own[u] for units in cut for u in units}
-        for unit, value in own.items():
-            if len(unit) <= 64:
-                cache.keep(unit, value)
-    else:
-        found = cache
+    for unit, counts in model.prefix_counts(u for u in new if len(u) <= LONG):
+        cache.keep(unit, _unit_deltas(counts))
     out = []
     for units in cut:
-        whole = b"".join([found[u] for u in units])
+        whole = b"".join(map(cache.__getitem__, units))
         # the first two belong together: the mark before the text has no code point of its own
         out.append(bytes([(whole[0] + whole[1]) & 255]) + whole[2:] if whole else b"")
     return out
 
 
+def delta_cache(model: PieceModel) -> UnitCache:
+    """Deltas by unit, found one by one where a batch has not found them together."""
+    return UnitCache(lambda unit: _unit_deltas(model.prefixes(unit)[0]))
+
+
 def counts_of(stored: bytes) -> np.ndarray:
     """Token counts of the prefixes of length 0, 1, 2, ... from what is stored."""
     return np.concatenate([[0], np.cumsum(np.frombuffer(stored, np.int8), dtype=np.int64)])
@@ -73,7 +70,7 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        cache = _deltas.setdefault(model_path, UnitCache(lambda unit: None))
+        cache = _deltas.setdefault(model_path, delta_cache(model))
         for batch in batches:
             for cut in cuts(batch, "text", 1 << 20):
                 texts = [t or "" for t in cut.column(1).to_pylist()]
