@@ -70,7 +70,7 @@ def host_count(hosts: Column) -> Column:
 
 def timelimit_bucket(limit: Column) -> Column:
     """ln(1 + limit) to one decimal (half to even) as text, ``na`` for null."""
-    return F.coalesce(F.format_string("%.1f", F.bround(log1p_floor(limit), 1)), F.lit("na"))
+    return F.when(limit.isNull(), "na").otherwise(F.format_string("%.1f", F.bround(log1p_floor(limit), 1)))
 
 
 def is_positive(exitcode: Column, outcomes: tuple[str, ...]) -> Column:
