@@ -202,7 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "holdout_subsample": f"WITH {LABELLED} SELECT jid FROM lab ORDER BY md5(jid || 'seed'), jid LIMIT 300",
     "out_of_time_split": f"WITH {LABELLED}, m AS (SELECT month, dense_rank() OVER (ORDER BY month DESC) <= 3 AS is_holdout FROM lab) SELECT month, is_holdout, count(*) AS n FROM m GROUP BY ALL",
     "rank_ordinal": f"WITH {SCORED} SELECT jid, cluster, round((row_number() OVER (PARTITION BY cluster ORDER BY score_a, jid) - 1) / greatest(count(*) OVER (PARTITION BY cluster) - 1, 1), 6) AS rank FROM sc",
-    "rank_blend": f"WITH {SCORED}, k AS (SELECT cluster, jid, (score_a + score_b) / 2 AS mean, ((row_number() OVER (PARTITION BY cluster ORDER BY score_a, jid) - 1) + (row_number() OVER (PARTITION BY cluster ORDER BY score_b, jid) - 1)) / 2 AS pos FROM sc), s AS (SELECT cluster, mean, row_number() OVER (PARTITION BY cluster ORDER BY mean, jid) - 1 AS i FROM k) SELECT k.cluster, k.jid, round(lo.mean + (hi.mean - lo.mean) * (pos - floor(pos)), 4) AS blend FROM k JOIN s lo ON lo.cluster = k.cluster AND lo.i = floor(pos) JOIN s hi ON hi.cluster = k.cluster AND hi.i = ceil(pos)",
+    "rank_blend": f"WITH {SCORED}, k AS (SELECT cluster, jid, (score_a + score_b) / 2 AS mean, ((row_number() OVER (PARTITION BY cluster ORDER BY score_a, jid) - 1) + (row_number() OVER (PARTITION BY cluster ORDER BY score_b, jid) - 1)) / 2 AS pos FROM sc), s AS (SELECT cluster, mean, row_number() OVER (PARTITION BY cluster ORDER BY mean, jid) - 1 AS i FROM k) SELECT k.cluster, k.jid, round(lo.mean + (hi.mean - lo.mean) * (pos - floor(pos)), 6) AS blend FROM k JOIN s lo ON lo.cluster = k.cluster AND lo.i = floor(pos) JOIN s hi ON hi.cluster = k.cluster AND hi.i = ceil(pos)",
     "average_precision": f"WITH {AP} SELECT cluster, {r('ap')} FROM ap",
     "macro_ap": f"WITH {AP} SELECT {r('avg(ap)', 6, 'macro_ap')} FROM ap",
     "class_weight": f"WITH {SCORED} SELECT cluster, round(least(greatest(sqrt((count(*) - sum(target)) / nullif(sum(target), 0)), 1), 6), 6) AS weight FROM sc GROUP BY cluster",

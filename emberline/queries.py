@@ -427,7 +427,7 @@ def rank_ordinal(spark, d):
 
 @query
 def rank_blend(spark, d):
-    return rounded(S.rank_blend(scored(spark, d), ["score_a", "score_b"]).select("cluster", "jid", "blend"), 4)
+    return rounded(S.rank_blend(scored(spark, d), ["score_a", "score_b"]).select("cluster", "jid", "blend"))
 
 
 @query
