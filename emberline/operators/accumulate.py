@@ -104,10 +104,8 @@ def widen(parts: DataFrame) -> DataFrame:
 
 def accumulators(rows: DataFrame) -> DataFrame:
     """One row per job from readings in the early window (see ``window_rows``): statistics, shape, dispersion, description."""
-    stats = [_stat(m, s).alias(f"{m}_{s}") for m in METRICS for s in STATS]
-    shape = [F.count("*").alias("rows"), F.count_distinct("host").alias("hosts"), F.min("elapsed").alias("tmin"), F.max("elapsed").alias("tmax")]
-    wide = widen(rows.groupBy("jid", "part").agg(*stats, *shape))
-    return wide.join(job_meta(rows), "jid").join(host_dispersion(rows), "jid", "left")
+    parts = part_stats(rows).join(part_shape(rows), ["jid", "part"])
+    return widen(parts).join(job_meta(rows), "jid").join(host_dispersion(rows), "jid", "left")
 
 
 def merge_parts(left: DataFrame, right: DataFrame) -> DataFrame:
