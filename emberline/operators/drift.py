@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberline.operators.ordered import running
+
 IDENTITIES = ("username", "jobname", "account")
 
 
@@ -21,12 +22,12 @@ def unseen_rates(train: DataFrame, reference: DataFrame, fields: tuple[str, ...]
 def category_holdout(rows: DataFrame, field: str, rate: float, seed: str) -> DataFrame:
     """(category, n): whole categories, in md5 order, taken while the rows taken so far are under ``rate`` of all.
 
-    Categories are numbered over one task, which gets one row per category; nulls are none.
+    Nulls are no category. Running totals go by buckets of the md5, so no task gets them all.
     """
     counts = rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("category")).agg(F.count("*").alias("n"))
-    order = W.orderBy(F.md5(F.concat("category", F.lit(seed))), "category").rowsBetween(W.unboundedPreceding, -1)
-    taken = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    return taken.filter(F.col("before") < rate * rows.count()).select("category", "n")
+    keyed = counts.withColumn("__md5", F.md5(F.concat("category", F.lit(seed)))).withColumn("__bucket", F.substring("__md5", 1, 2))
+    taken = running(keyed, [], [F.col("__md5"), F.col("category")], {"taken": F.col("n")})
+    return taken.filter(F.col("taken") - F.col("n") < rate * rows.count()).select("category", "n")
 
 
 def row_mask(jid: Column, rate: float, seed: str) -> Column:

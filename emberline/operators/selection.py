@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberline.operators.ordered import by_quantile, running
 from emberline.schema import PREDICTOR_MARGIN
 
 
@@ -35,20 +35,33 @@ def out_of_time_split(rows: DataFrame, holdout: int = 3) -> DataFrame:
     return rows.filter("month IS NOT NULL AND target IS NOT NULL").withColumn("is_holdout", F.col("month") >= last[holdout - 1])
 
 
+def _position(rows: DataFrame, by: str, group: str, tie: str, name: str) -> DataFrame:
+    """Adds the row's place in its group, from 0, by ``by`` and then ``tie``."""
+    placed = running(by_quantile(rows, group, by), [group], [F.col(by), F.col(tie)], {name: F.lit(1)})
+    return placed.withColumn(name, F.col(name) - 1)
+
+
+def _sized(rows: DataFrame, group: str) -> DataFrame:
+    """Adds ``__n``, the group's rows."""
+    sizes = rows.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("__n"))
+    return rows.join(sizes, F.col(group).eqNullSafe(F.col("__of"))).drop("__of")
+
+
 def rank_ordinal(rows: DataFrame, score: str, group: str = "cluster", tie: str = "jid") -> DataFrame:
     """Adds ``rank`` from 0 to 1 within ``group``, ties by ``tie``; a group of one has rank 0."""
-    n = F.count("*").over(W.partitionBy(group))
-    at = F.row_number().over(W.partitionBy(group).orderBy(score, tie))
-    return rows.withColumn("rank", (at - 1) / F.greatest(n - 1, F.lit(1)))
+    placed = _sized(_position(rows, score, group, tie, "__at_"), group)
+    return placed.withColumn("rank", F.col("__at_") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__at_", "__n")
 
 
 def rank_blend(rows: DataFrame, scores: list[str], group: str = "cluster", tie: str = "jid") -> DataFrame:
     """(group, tie, blend): mean ordinal rank over models, mapped on the sorted mean scores by linear interpolation."""
-    n = F.count("*").over(W.partitionBy(group))
     mean = sum((F.col(s) for s in scores), F.lit(0.0)) / len(scores)
-    ranks = [(F.row_number().over(W.partitionBy(group).orderBy(s, tie)) - 1) / F.greatest(n - 1, F.lit(1)) for s in scores]
-    ranked = rows.select(group, tie, mean.alias("mean"), (sum(ranks, F.lit(0.0)) / len(scores) * (n - 1)).alias("at"))
-    sorted_means = ranked.select(group, "mean", (F.row_number().over(W.partitionBy(group).orderBy("mean", tie)) - 1).alias("k"))
+    ranked = _sized(rows.select(group, tie, *scores, mean.alias("mean")), group)
+    for k, s in enumerate(scores):
+        ranked = _position(ranked, s, group, tie, f"__p{k}")
+    share = sum((F.col(f"__p{k}") / F.greatest(F.col("__n") - 1, F.lit(1)) for k in range(len(scores))), F.lit(0.0)) / len(scores)
+    ranked = ranked.select(group, tie, "mean", (share * (F.col("__n") - 1)).alias("at"))
+    sorted_means = _position(ranked.select(group, tie, "mean"), "mean", group, tie, "k")
     low = sorted_means.select(F.col(group).alias("g0"), F.col("k").alias("k0"), F.col("mean").alias("m0"))
     high = sorted_means.select(F.col(group).alias("g1"), F.col("k").alias("k1"), F.col("mean").alias("m1"))
     at = F.round("at", 9)
@@ -59,8 +72,7 @@ def rank_blend(rows: DataFrame, scores: list[str], group: str = "cluster", tie:
 def average_precision(rows: DataFrame, score: str = "score", target: str = "target", group: str = "cluster") -> DataFrame:
     """(group, ap): the step-wise area under precision and recall; rows with equal scores are one step. No positives: null."""
     steps = rows.groupBy(group, score).agg(F.sum(target).alias("tp"), F.count("*").alias("n"))
-    down = W.partitionBy(group).orderBy(F.col(score).desc())
-    run = steps.select(group, "tp", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"))
+    run = running(by_quantile(steps, group, score), [group], [F.col(score).desc()], {"ctp": F.col("tp"), "cn": F.col("n")}, falling=True)
     return run.groupBy(group).agg((F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))).alias("ap"))
 
 

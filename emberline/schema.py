@@ -26,5 +26,4 @@ SMOOTHING, LEAST_FREQUENCY, TINY = 25.0, 5, 1e-6
 RANGE_SHARE, PREDICTOR_MARGIN = 0.20, 0.01
 EDGE_SECONDS = 3600.0
 SECONDS_UNIT_CLUSTERS = ("Anvil",)
-START_MONTH = {"S": "2016-01", "C": "2015-10", "Anvil": "2022-07"}
 ORDER = ("elapsed", "host", "line", "part_key")  # total order of a job's readings
