@@ -8,6 +8,7 @@ machine-local folder would not be seen by the executors.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -43,11 +44,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _reach(spark: SparkSession) -> None:
+    """Lets Python workers on this file system import the package wherever the driver was started."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths and os.path.isdir(root):
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Limits what one Arrow batch holds, unless the session already sets tighter limits.
 
     Batches are cut by rows *and* by bytes, so a run of very long texts stays bounded.
     """
+    _reach(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
