@@ -112,7 +112,8 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     text's words, so a text is rejected whose distance from its group's median, times that
     root, is over ``width`` times the group's robust spread (1.4826 x the median of such
     distances). Token entropy grows with length and is held against texts of its group within
-    the same power of two of tokens. A byte share is rejected over ``byte_share_most`` beyond the
+    the same power of two of tokens. Tokens per word may be off either way; many characters per
+    token and a high entropy speak for a text, so these bands are open above. A byte share is rejected over ``byte_share_most`` beyond the
     group's median. A group, or length class, of under ``least_group`` documents has no
     bands. Null texts are empty and fail the base rules; rows that repeat stay repeated; an
     empty table gives no rows.
@@ -138,9 +139,10 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     joined = _small(spark, bands, rows, "grp", how="left")
     joined = _small(spark, by_length.join(loose, ["grp", "length"]), joined, "grp", "length", how="left")
     outside = F.col("byte_share") > F.col("mid_byte") + byte_share_most
-    for c in plain:
-        outside = outside | (F.abs(F.col(c) - F.col(f"mid_{c}")) * F.col("root") > width * 1.4826 * F.col(f"dev_{c}"))
-    rejected = F.coalesce(outside, F.lit(False)) | F.coalesce(F.abs(F.col("token_entropy") - F.col("mid_entropy")) > width * 1.4826 * F.col("dev_entropy"), F.lit(False))
+    beyond = lambda gap, dev: gap > width * 1.4826 * F.col(dev)
+    outside = outside | beyond(F.abs(F.col("tokens_per_word") - F.col("mid_tokens_per_word")) * F.col("root"), "dev_tokens_per_word")
+    outside = outside | beyond((F.col("mid_chars_per_token") - F.col("chars_per_token")) * F.col("root"), "dev_chars_per_token")
+    rejected = F.coalesce(outside, F.lit(False)) | F.coalesce(beyond(F.col("mid_entropy") - F.col("token_entropy"), "dev_entropy"), F.lit(False))
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "tokens_per_word", *MEASURES, "base_failed")
     return joined.select(F.col("id").alias(id_col), *out, (~F.col("base_failed") & ~rejected).alias("kept"))
 
