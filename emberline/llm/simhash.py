@@ -7,12 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import bound_batches, materialise, unused
-from .text import Words, cuts, windows, xxh64
+from .text import Words, combined, cuts, windows, xxh64
 
 ONES = np.uint64(0x0101010101010101)
 
@@ -24,7 +25,11 @@ def text_fingerprints(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
     ``shingle`` space-joined words, repeats included; a text of fewer words is one shingle; a
     text without words, and a null, has fingerprint zero).
     """
-    words = Words(column)
+    return word_fingerprints(Words(column), shingle, seed)
+
+
+def word_fingerprints(words: Words, shingle: int, seed: int = 42) -> np.ndarray:
+    """The same, from a batch's words."""
     buf, starts, ends = words.spaced()
     first, owner = windows(words.edges, shingle)
     last = first + shingle - 1
@@ -35,11 +40,11 @@ def text_fingerprints(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
     if short.size:
         order = np.argsort(owner, kind="stable")
         first, last, owner = first[order], last[order], owner[order]
-    out = np.zeros(len(column), np.uint64)
+    out = np.zeros(words.per_text.size, np.uint64)
     if not first.size:
         return out.view(np.int64)
     hashes = xxh64(buf, starts[first], ends[last] - starts[first], seed)
-    counts = np.bincount(owner, minlength=len(column))
+    counts = np.bincount(owner, minlength=out.size)
     begins = np.cumsum(counts) - counts
     pieces = -(-counts // 255)  # byte-wide counters hold 255 hashes
     of = np.repeat(np.arange(counts.size), pieces)
@@ -129,13 +134,120 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the near copies: of each group the rows with the smallest id stay.
+def word_digests(words: Words) -> list[bytes]:
+    """128 bits of each text's lower-cased words, joined by single spaces."""
+    buf, starts, ends = words.spaced()
+    edges = words.edges.tolist()
+    return [xxhash.xxh3_128_digest(buf[starts[a] : ends[b - 1]].tobytes() if a < b else b"") for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def shingle_sets(words: Words, width: int) -> pa.ListArray:
+    """The distinct hashes of each text's runs of ``width`` words, in order; none for a shorter text."""
+    first, owner = windows(words.edges, width)
+    values = combined(words.hashes(), width)[first] if first.size else np.zeros(0, np.uint64)
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    fresh = np.ones(values.size, bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    counts = np.bincount(owner[fresh], minlength=words.per_text.size)
+    edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(values[fresh].view(np.int64)))
+
+
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, digest, fp) of every row."""
+    bound_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in cuts(batch, "text"):
+                words = Words(cut.column(1))
+                found = [cut.column(0), pa.array(word_digests(words), pa.binary()), pa.array(word_fingerprints(words, shingle))]
+                yield pa.RecordBatch.from_arrays(found, ["id", "digest", "fp"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, fp bigint")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, share: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose texts' shingle sets have a Jaccard similarity of ``share`` or more.
+
+    Only texts that some pair names are read again.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in cuts(batch, "text"):
+                words = Words(cut.column(1))
+                found = [cut.column(0), pa.array(word_digests(words), pa.binary()), shingle_sets(words, width)]
+                yield pa.RecordBatch.from_arrays(found, ["id", "digest", "shingles"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = nodes.join(named, "node", "left_semi").select("node", F.col("least").alias("id"), "digest")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named.select("id"), "id", "left_semi")
+    sets = texts.mapInArrow(run, f"id {kind}, digest binary, shingles array<bigint>").join(named, ["id", "digest"])
+    sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+    return both.filter((F.col("shared") > 0) & (F.col("shared") >= share * (F.col("total") - F.col("shared")) - 1e-9)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 8, whole: int = 3, bucket: int = 8) -> DataFrame:
+    """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links.
+
+    Texts of the same words are linked, and texts whose sets of ``width``-word shingles have a
+    Jaccard similarity of ``share`` or more, where their fingerprints (of ``shingle`` words) share
+    ``whole`` of ``blocks`` blocks and differ in at most ``bits`` bits. Fingerprints up to
+    ``blocks - whole`` bits apart always share that many blocks; more distant ones mostly do.
+
+    A bucket's texts are compared with each other; in one of more than ``bucket`` texts each is
+    first compared with the text of the smallest id, and then, where that leaves it outside the
+    bucket's largest component, with all texts of other components. So no link between
+    components is lost, and work is not quadratic in a group that its first text holds together.
+
+    Texts without words, and nulls, are one group. Texts of fewer than ``width`` words are linked
+    to equal ones only, as are rows of null id, whose ``component_id`` is null if the text has no other.
+    Repeated rows stay repeated; an empty table gives no rows.
+    """
+    rows = materialise(_described(docs, id_col, text_col, shingle), "fingerprints")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp"))
+    nodes = materialise(classes.orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks - whole, blocks))])
+    keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("key"), "node", "fp")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
+    members = materialise(keys.join(sizes, "key"), "buckets")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
+    few = members.filter(F.col("n") <= bucket).select("key", "node", "fp")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = members.filter(F.col("n") > bucket)
+    stars = many.filter("node <> head").select("head", "node", "fp").distinct().alias("x")
+    stars = stars.join(nodes.alias("y"), (F.col("x.head") == F.col("y.node")) & near).select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
+    pairs = materialise(pairs.union(stars).distinct(), "pairs")
+    how = (nodes, docs, id_col, text_col, width, share)
+    found = materialise(_alike(pairs, *how), "alike")
+    roots = connected_components(found).withColumnRenamed("node", "of")
+    placed = materialise(many.join(roots, many["node"] == roots["of"], "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("top")).filter("parts > 1")
+    mixed = placed.join(mixed, "key")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near
+    cross = mixed.filter("root <> top").alias("x").join(mixed.alias("y"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    cross = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = connected_components(found.union(_alike(cross, *how))).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")), "root").select("digest", "component_id")
+    return rows.join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=simhash_groups, **how) -> DataFrame:
+    """``docs`` without the near copies: of each group that ``find`` names the rows with the smallest id stay.
 
     Rows that share both id and group stay together. A row with a null id stays, as no
     other row can be told from it by its id.
     """
     gone = unused(docs, "__gone")
-    groups = simhash_groups(docs, id_col, text_col, **how)
+    groups = find(docs, id_col, text_col, **how)
     copies = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
     return docs.join(copies, F.col(id_col) == F.col(gone), "left_anti")

@@ -49,6 +49,60 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def similar_brute(rows, width=5, share=0.8, bits=10):
+    """Component of each distinct text: equal words, or Jaccard similarity and fingerprints close enough."""
+    texts = {}
+    for r in rows:
+        texts.setdefault(b" ".join(words(r[1])), []).append(r[0])
+    keys = list(texts)
+    fps = simhash.text_fingerprints(pa.array([k.decode(errors="surrogateescape") for k in keys]), 2).view("uint64").tolist()
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (k.split(b" ") for k in keys)]
+    root = list(range(len(keys)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(keys)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            differ = fps[i] ^ fps[j]
+            blocks = sum((differ >> (8 * k)) & 255 == 0 for k in range(8))
+            if both and both >= share * len(sets[i] | sets[j]) and differ.bit_count() <= bits and blocks >= 3 and any(x is not None for x in texts[keys[i]]) and any(x is not None for x in texts[keys[j]]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, k in enumerate(keys):
+        ids = [x for x in texts[k] if x is not None]
+        if ids:
+            least[find(i)] = min(least.get(find(i), ids[0]), *ids)
+    return {(x, least.get(find(i))) for i, k in enumerate(keys) for x in texts[k]}
+
+
+@pytest.mark.parametrize("bucket", [2, 8])
+def test_similar_groups(spark, bucket):
+    draw = random.Random(5)
+    rows = awkward(30)
+    pool = [f"w{k}" for k in range(400)]
+    for g in range(4):
+        base = [draw.choice(pool) for _ in range(60 * (g + 1))]
+        for k in range(25):
+            some = list(base)
+            for _ in range(draw.randrange(0, 2 + g * 2)):
+                some[draw.randrange(len(some))] = draw.choice(pool)
+            rows.append((1000 * g + 500 + 7 * k, " ".join(some) if k % 3 else " ".join(some).upper(), "en", None, None))
+    docs = frame(spark, rows).withColumn("least", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("node", F.lit(2))
+    got = simhash.similar_groups(docs, bucket=bucket).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == similar_brute(rows)
+    kept = simhash.keep_one(docs, find=simhash.similar_groups, bucket=bucket)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.doc_id == r.component_id or r.doc_id is None} - {r.doc_id for r in got if r.doc_id is not None and r.doc_id != r.component_id}
+    empty = docs.limit(0)
+    assert simhash.similar_groups(empty).count() == simhash.keep_one(empty, find=simhash.similar_groups).count() == 0
+
+
+
 def test_simhash_groups(docs, rows):
     got = simhash.simhash_groups(docs).collect()
     prints = [fingerprint(t) for _, t, *_ in rows]
