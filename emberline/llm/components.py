@@ -14,6 +14,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round points every node's larger neighbours at its smallest one, then every node's
     smaller neighbours, until the links form stars; the number of rounds grows with the
     logarithm of the components' sizes. Each round's links are written to the shared folder.
+    Joins are merged: a broadcast in each round costs the driver far more memory than its rows.
     Links with a null end and links of a node to itself add nothing; no links, no rows.
     """
     a, b = F.col("a"), F.col("b")
@@ -39,10 +40,10 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.filter("a <> b").union(least.select("a", "m")).distinct()

@@ -184,11 +184,11 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
                 yield pa.RecordBatch.from_arrays(found, ["id", "digest", "shingles"])
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = nodes.join(named, "node", "left_semi").select("node", F.col("least").alias("id"), "digest")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named.select("id"), "id", "left_semi")
-    sets = texts.mapInArrow(run, f"id {kind}, digest binary, shingles array<bigint>").join(named, ["id", "digest"])
+    named = nodes.join(named.hint("merge"), "node", "left_semi").select("node", F.col("least").alias("id"), "digest")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named.select("id").hint("merge"), "id", "left_semi")
+    sets = texts.mapInArrow(run, f"id {kind}, digest binary, shingles array<bigint>").join(named.hint("merge"), ["id", "digest"])
     sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
     return both.filter((F.col("shared") > 0) & (F.col("shared") >= share * (F.col("total") - F.col("shared")) - 1e-9)).select("a", "b")
 
@@ -216,29 +216,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks - whole, blocks))])
     keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("key"), "node", "fp")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    members = materialise(keys.join(sizes, "key"), "buckets")
+    members = materialise(keys.join(sizes.hint("merge"), "key"), "buckets")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
     few = members.filter(F.col("n") <= bucket).select("key", "node", "fp")
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near)
+    pairs = few.alias("x").join(few.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = members.filter(F.col("n") > bucket)
     stars = many.filter("node <> head").select("head", "node", "fp").distinct().alias("x")
-    stars = stars.join(nodes.alias("y"), (F.col("x.head") == F.col("y.node")) & near).select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
+    stars = stars.join(nodes.alias("y").hint("merge"), (F.col("x.head") == F.col("y.node")) & near).select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
     pairs = materialise(pairs.union(stars).distinct(), "pairs")
     how = (nodes, docs, id_col, text_col, width, share)
     found = materialise(_alike(pairs, *how), "alike")
     roots = connected_components(found).withColumnRenamed("node", "of")
-    placed = materialise(many.join(roots, many["node"] == roots["of"], "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")), "placed")
+    placed = materialise(many.join(roots.hint("merge"), many["node"] == roots["of"], "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("top")).filter("parts > 1")
-    mixed = placed.join(mixed, "key")
+    mixed = placed.join(mixed.hint("merge"), "key")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near
-    cross = mixed.filter("root <> top").alias("x").join(mixed.alias("y"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    cross = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    cross = mixed.filter("root <> top").alias("x").join(mixed.alias("y").hint("merge"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    cross = materialise(cross.distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     roots = connected_components(found.union(_alike(cross, *how))).withColumnRenamed("node", "of")
-    rooted = nodes.join(roots, nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")), "root").select("digest", "component_id")
-    return rows.join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+    rooted = nodes.join(roots.hint("merge"), nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")).hint("merge"), "root").select("digest", "component_id")
+    return rows.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=simhash_groups, **how) -> DataFrame:
@@ -250,4 +250,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     gone = unused(docs, "__gone")
     groups = find(docs, id_col, text_col, **how)
     copies = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(copies, F.col(id_col) == F.col(gone), "left_anti")
+    return docs.join(copies.hint("merge"), F.col(id_col) == F.col(gone), "left_anti")
