@@ -193,6 +193,29 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     return both.filter((F.col("shared") > 0) & (F.col("shared") >= share * (F.col("total") - F.col("shared")) - 1e-9)).select("a", "b")
 
 
+def _apart(members: DataFrame, roots: DataFrame, bits: int, blocks: int, whole: int, chunk: int | None) -> DataFrame:
+    """(a, b): pairs of ``members(key, last, node, fp, n)`` of one bucket, not in one component, ``bits`` apart at most.
+
+    Of each pair one at least is outside its bucket's largest component. With ``chunk`` only
+    pairs of one part of a bucket, of about that many members, are named. A pair is named in the
+    first of the blocks' choices that it shares; where that one's bucket is small, or holds one
+    component, the pair is settled there.
+    """
+    placed = members.join(roots.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
+    placed = materialise(placed.select("key", "last", "node", "fp", "n", F.coalesce("root", "node").alias("root")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("top")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)) if chunk else F.lit(0).cast("long")
+    mixed = placed.join(mixed.hint("merge"), "key").withColumn("part", part)
+    x, y = mixed.filter("root <> top").alias("x"), mixed.alias("y").hint("merge")
+    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    whole_of = [block_masks(blocks - 1, blocks)[k] for k in range(blocks)]
+    shared = sum(((differ.bitwiseAND(F.lit(m)) == 0) & (F.col("x.last") >= k)).cast("int") for k, m in enumerate(whole_of))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root"))
+    found = x.join(y, same & (F.bit_count(differ) <= bits) & (F.lit(whole) == shared))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 8, whole: int = 3, bucket: int = 8) -> DataFrame:
     """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links.
 
@@ -203,8 +226,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A bucket's texts are compared with each other; in one of more than ``bucket`` texts each is
     first compared with the text of the smallest id, and then, where that leaves it outside the
-    bucket's largest component, with all texts of other components. So no link between
-    components is lost, and work is not quadratic in a group that its first text holds together.
+    bucket's largest component, with those of its part of the bucket, and where it is outside
+    still, with all texts of other components. So no link between components is lost, and
+    work is not quadratic in a group that its first text, or chance partners, hold together.
 
     Texts without words, and nulls, are one group. Texts of fewer than ``width`` words are linked
     to equal ones only, as are rows of null id, whose ``component_id`` is null if the text has no other.
@@ -213,8 +237,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialise(_described(docs, id_col, text_col, shingle), "fingerprints")
     classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp"))
     nodes = materialise(classes.orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keyed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks - whole, blocks))])
-    keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("key"), "node", "fp")
+    bands = list(zip(combinations(range(blocks), whole), block_masks(blocks - whole, blocks), strict=True))
+    keyed = F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), F.lit(chosen[-1]).alias("last")) for i, (chosen, m) in enumerate(bands)])
+    keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("k"), "node", "fp").select("k.key", "k.last", "node", "fp")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
     members = materialise(keys.join(sizes.hint("merge"), "key"), "buckets")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
@@ -227,15 +252,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = materialise(pairs.union(stars).distinct(), "pairs")
     how = (nodes, docs, id_col, text_col, width, share)
     found = materialise(_alike(pairs, *how), "alike")
+    for chunk in (4 * bucket, None):
+        cross = _apart(many, connected_components(found), bits, blocks, whole, chunk)
+        cross = materialise(cross.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        found = materialise(found.union(_alike(cross, *how)), "alike")
+        pairs = pairs.union(cross)
     roots = connected_components(found).withColumnRenamed("node", "of")
-    placed = materialise(many.join(roots.hint("merge"), many["node"] == roots["of"], "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")), "placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("top")).filter("parts > 1")
-    mixed = placed.join(mixed.hint("merge"), "key")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near
-    cross = mixed.filter("root <> top").alias("x").join(mixed.alias("y").hint("merge"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    cross = materialise(cross.distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    roots = connected_components(found.union(_alike(cross, *how))).withColumnRenamed("node", "of")
     rooted = nodes.join(roots.hint("merge"), nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
     named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")).hint("merge"), "root").select("digest", "component_id")
     return rows.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
