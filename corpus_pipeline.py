@@ -28,7 +28,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document with the smallest id."""
-    return simhash.keep_one(docs, find=simhash.similar_groups, width=5, share=0.8)
+    return simhash.keep_one(docs, find=simhash.alike_groups, width=5, share=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -141,17 +141,66 @@ def word_digests(words: Words) -> list[bytes]:
     return [xxhash.xxh3_128_digest(buf[starts[a] : ends[b - 1]].tobytes() if a < b else b"") for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def shingle_sets(words: Words, width: int) -> pa.ListArray:
-    """The distinct hashes of each text's runs of ``width`` words, in order; none for a shorter text."""
+def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the distinct runs of ``width`` words of each text, by text and then hash."""
     first, owner = windows(words.edges, width)
     values = combined(words.hashes(), width)[first] if first.size else np.zeros(0, np.uint64)
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     fresh = np.ones(values.size, bool)
     fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    counts = np.bincount(owner[fresh], minlength=words.per_text.size)
+    return values[fresh], owner[fresh]
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(values[fresh].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(values.view(np.int64)))
+
+
+def shingle_sets(words: Words, width: int) -> pa.ListArray:
+    """The distinct hashes of each text's runs of ``width`` words, in order; none for a shorter text."""
+    values, owner = _shingles(words, width)
+    return _lists(values, np.bincount(owner, minlength=words.per_text.size))
+
+
+def rare_prefixes(words: Words, width: int, share: float, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(number of distinct shingles, the first of them) of each text, rare ones first.
+
+    Shingles are ordered by how often they were ``seen`` (0 unless in the sorted ``common``), then
+    by hash. Of two sets whose Jaccard similarity is ``share`` or more, the first
+    n - ceil(share * n) + 1 of the one and of the other have a member in common, whatever the order.
+    """
+    values, owner = _shingles(words, width)
+    counts = np.bincount(owner, minlength=words.per_text.size)
+    rank = np.zeros(values.size, np.int64)
+    if common.size:
+        at = np.minimum(np.searchsorted(common, values), common.size - 1)
+        rank = np.where(common[at] == values, seen[at], 0)
+    order = np.lexsort((values, rank, owner))
+    place = np.arange(values.size) - np.repeat(np.cumsum(counts) - counts, counts)
+    most = np.where(counts > 0, counts - np.ceil(share * counts - 1e-9).astype(np.int64) + 1, 0)
+    return counts, _lists(values[order][place < np.repeat(most, counts)], most)
+
+
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int = 5000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the shingles seen most often in about ``rows`` texts, by hash.
+
+    They only order the shingles of a text, so the sample decides how much work there is and not what is found.
+    """
+    bound_batches(docs.sparkSession)
+    every = max(1, docs.count() // rows)
+    some = docs.filter(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0)).select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in cuts(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(Words(cut.column(0)), width)[0].view(np.int64))], ["key"])
+
+    often = some.mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    found = often.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy().astype(np.int64)[order]
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -169,6 +218,22 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, fp bigint")
 
 
+def _described_whole(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, share: float) -> DataFrame:
+    """(id, digest, fp, size, prefix) of every row: the last two are those of ``rare_prefixes``."""
+    common, seen = _common_shingles(docs, id_col, text_col, width)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in cuts(batch, "text"):
+                words = Words(cut.column(1))
+                sizes, prefixes = rare_prefixes(words, width, share, common, seen)
+                found = [cut.column(0), pa.array(word_digests(words), pa.binary()), pa.array(word_fingerprints(words, shingle)), pa.array(sizes, pa.int64()), prefixes]
+                yield pa.RecordBatch.from_arrays(found, ["id", "digest", "fp", "size", "prefix"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, fp bigint, size bigint, prefix array<bigint>")
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, share: float) -> DataFrame:
     """The ``pairs(a, b)`` whose texts' shingle sets have a Jaccard similarity of ``share`` or more.
 
@@ -216,6 +281,60 @@ def _apart(members: DataFrame, roots: DataFrame, bits: int, blocks: int, whole:
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _may_be_alike(x: str, y: str, share: float) -> Column:
+    """Whether two texts that share a shingle at their ``pos`` can reach ``share``, if they share none before."""
+    sizes = F.least(f"{x}.size", f"{y}.size") >= share * F.greatest(f"{x}.size", f"{y}.size") - 1e-9
+    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos"))
+    return sizes & (left >= share / (1 + share) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-9)
+
+
+def _apart_sharing(members: DataFrame, roots: DataFrame, share: float, chunk: int, whole: bool) -> DataFrame:
+    """(a, b): pairs of ``members(key, node, size, pos, n)`` of one bucket, not in one component, that may be alike.
+
+    Of each pair one at least is outside its bucket's largest component. Pairs of one part of a
+    bucket, of about ``chunk`` members, are named; or, with ``whole``, all pairs of the buckets of more than one part.
+    """
+    if whole:
+        members = members.filter(F.col("n") > chunk)
+    placed = members.join(roots.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
+    placed = materialise(placed.select("key", "node", "size", "pos", "n", F.coalesce("root", "node").alias("root")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("members"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("members", "root")).alias("top")).filter("parts > 1")
+    part = F.lit(0).cast("long") if whole else F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk))
+    mixed = placed.join(mixed.hint("merge"), "key").withColumn("part", part)
+    x, y = mixed.filter("root <> top").alias("x"), mixed.alias("y").hint("merge")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("y.root") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+    found = x.join(y, same & once & _may_be_alike("x", "y", share))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _near(nodes: DataFrame, bits: int, blocks: int, whole: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs(a, b), members of large buckets): candidates by fingerprint, in a large bucket those with its first text."""
+    bands = list(zip(combinations(range(blocks), whole), block_masks(blocks - whole, blocks), strict=True))
+    keyed = F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), F.lit(chosen[-1]).alias("last")) for i, (chosen, m) in enumerate(bands)])
+    keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("k"), "node", "fp").select("k.key", "k.last", "node", "fp")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
+    members = materialise(keys.join(sizes.hint("merge"), "key"), "buckets")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
+    few = members.filter(F.col("n") <= bucket).select("key", "node", "fp")
+    pairs = few.alias("x").join(few.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = members.filter(F.col("n") > bucket)
+    stars = many.filter("node <> head").select("head", "node", "fp").distinct().alias("x")
+    stars = stars.join(nodes.alias("y").hint("merge"), (F.col("x.head") == F.col("y.node")) & near).select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
+    pairs = materialise(pairs.union(stars).distinct(), "pairs")
+    return pairs, many
+
+
+def _named(rows: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id, component_id) of every row, from the links ``found(a, b)``."""
+    roots = connected_components(found).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots.hint("merge"), nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")).hint("merge"), "root").select("digest", "component_id")
+    return rows.select("id", "digest").join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 8, whole: int = 3, bucket: int = 8) -> DataFrame:
     """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links.
 
@@ -237,19 +356,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialise(_described(docs, id_col, text_col, shingle), "fingerprints")
     classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp"))
     nodes = materialise(classes.orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = list(zip(combinations(range(blocks), whole), block_masks(blocks - whole, blocks), strict=True))
-    keyed = F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), F.lit(chosen[-1]).alias("last")) for i, (chosen, m) in enumerate(bands)])
-    keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("k"), "node", "fp").select("k.key", "k.last", "node", "fp")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    members = materialise(keys.join(sizes.hint("merge"), "key"), "buckets")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
-    few = members.filter(F.col("n") <= bucket).select("key", "node", "fp")
-    pairs = few.alias("x").join(few.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    many = members.filter(F.col("n") > bucket)
-    stars = many.filter("node <> head").select("head", "node", "fp").distinct().alias("x")
-    stars = stars.join(nodes.alias("y").hint("merge"), (F.col("x.head") == F.col("y.node")) & near).select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
-    pairs = materialise(pairs.union(stars).distinct(), "pairs")
+    pairs, many = _near(nodes, bits, blocks, whole, bucket)
     how = (nodes, docs, id_col, text_col, width, share)
     found = materialise(_alike(pairs, *how), "alike")
     for chunk in (4 * bucket, None):
@@ -257,10 +364,47 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cross = materialise(cross.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         found = materialise(found.union(_alike(cross, *how)), "alike")
         pairs = pairs.union(cross)
-    roots = connected_components(found).withColumnRenamed("node", "of")
-    rooted = nodes.join(roots.hint("merge"), nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")).hint("merge"), "root").select("digest", "component_id")
-    return rows.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+    return _named(rows, nodes, found, id_col)
+
+
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 8, whole: int = 3, bucket: int = 8) -> DataFrame:
+    """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links.
+
+    Texts of the same words are linked, and all texts whose sets of ``width``-word shingles have a
+    Jaccard similarity of ``share`` or more. Candidates that the similarity is computed of come first
+    from fingerprints (of ``shingle`` words) that share ``whole`` of ``blocks`` blocks and differ
+    in at most ``bits`` bits. These find most links, not all; so then texts of different
+    components are compared that share one of their rarest shingles, which any two texts as similar as that do.
+
+    A bucket's texts are compared with each other; in one of more than ``bucket`` texts each is
+    first compared with the text of the smallest id, and then, where that leaves it outside the
+    bucket's largest component, with those of its part of the bucket, and where it is outside
+    still, with all texts of other components. So no link between components is lost, and
+    work is not quadratic in a group that its first text, or chance partners, hold together.
+
+    Texts without words, and nulls, are one group. Texts of fewer than ``width`` words are linked
+    to equal ones only, as are rows of null id, whose ``component_id`` is null if the text has no other.
+    Repeated rows stay repeated; an empty table gives no rows.
+    """
+    rows = materialise(_described_whole(docs, id_col, text_col, shingle, width, share), "fingerprints")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = materialise(classes.orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = nodes.filter("least IS NOT NULL")
+    near, _ = _near(nodes, bits, blocks, whole, bucket)
+    rare = own.select(F.posexplode("prefix").alias("pos", "key"), "node", "size")
+    held = rare.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "pos")).alias("head")).filter("n > 1")
+    sharing = materialise(rare.join(held.hint("merge"), "key"), "sharing")
+    first = sharing.filter((F.col("n") > bucket) & (F.col("node") != F.col("head.node"))).select("head", F.struct("node", "size", "pos").alias("own"))
+    first = first.filter(_may_be_alike("head", "own", share)).select(F.col("head.node").alias("a"), F.col("own.node").alias("b"))
+    pairs = materialise(near.union(first).distinct(), "pairs")
+    how = (nodes.select("node", "least", "digest"), docs, id_col, text_col, width, share)
+    found = materialise(_alike(pairs, *how), "alike")
+    for every in (False, True):
+        cross = _apart_sharing(sharing.drop("head"), connected_components(found), share, 4 * bucket, every)
+        cross = materialise(cross.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        found = materialise(found.union(_alike(cross, *how)), "alike")
+        pairs = pairs.union(cross)
+    return _named(rows, nodes, found, id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=simhash_groups, **how) -> DataFrame:

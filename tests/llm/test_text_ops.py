@@ -102,6 +102,28 @@ def test_similar_groups(spark, bucket):
     assert simhash.similar_groups(empty).count() == simhash.keep_one(empty, find=simhash.similar_groups).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [2, 8])
+def test_alike_groups_find_every_pair_of_the_similarity(spark, bucket):
+    """Against Jaccard alone: each base has one cut copy and one lengthened copy, at 0.8 to 0.9, and one just below."""
+    draw = random.Random(11)
+    rows, near = [], 0
+    for g in range(60):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(100, 300))]
+        n = len(base)
+        texts = [base, base[: round(n * draw.uniform(0.81, 0.9))], [*base, *[f"v{draw.randrange(5000)}" for _ in range(round(n * draw.uniform(0.1, 0.23)))]], base[: round(n * 0.78)]]
+        rows += [(100 * g + k, " ".join(t), "en", None, None) for k, t in enumerate(texts)]
+    rows += [(9000 + k, " ".join(["same"] * 3 + [f"u{k * 300 + j}" for j in range(100)] + ["one", "two", "three", "four", "five"]), "en", None, None) for k in range(40)]
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in rows for w in [r[1].split()]}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                near += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert near >= 120
+    assert {r.doc_id: r.component_id for r in simhash.alike_groups(frame(spark, rows), bucket=bucket).collect()} == root
+
 
 def test_simhash_groups(docs, rows):
     got = simhash.simhash_groups(docs).collect()
