@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
@@ -185,11 +185,12 @@ def fold(id_col: Column, parts: int = 5) -> Column:
     return F.crc32(id_col.cast("string")) % parts
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, held_out: int = 0, most: int = 1500, chars: int = 10_000) -> ToxicityModel:
-    """A model from at most ``most`` labelled documents of each class, ``chars`` characters of each.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, held_out: int = 0, most: int = 1500, most_bytes: int = 8 << 20) -> ToxicityModel:
+    """A model from the whole texts of at most ``most`` labelled documents of each class.
 
     Rows of fold ``held_out``, with a null id or without a label of 0 or 1 are not learned
-    from; the sample is the smallest ids by hash. An id that several labels name counts as toxic if one says so.
+    from; the sample is the smallest ids by hash, fewer where their texts are over ``most_bytes`` together.
+    An id that several labels name counts as toxic if one says so.
     """
     own = labels.filter(F.col(label_col).isin(0, 1) & (fold(F.col(id_col), parts) != held_out))
     own = own.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
@@ -199,8 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sizes.append(some.count())
         chosen.append(some.orderBy(F.xxhash64("id"), "id").limit(most))
     ids = chosen[0].union(chosen[1])
-    text = F.substring(F.col(text_col), 1, chars).alias("t")
-    rows = docs.select(F.col(id_col).alias("id"), text).filter("t IS NOT NULL").join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("t IS NOT NULL").join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    before = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length("t").cast("long")
+    rows = rows.withColumn("held", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")) + size).filter((F.col("held") <= most_bytes) | (F.col("held") == size)).drop("held").collect()
     rows.sort(key=lambda r: r.id)
     return fit([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0], (sizes[0], sizes[1]))
 

@@ -47,6 +47,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, s in got.items() if s < 0.5}
 
 
+def test_toxicity_learns_from_the_whole_of_long_texts(spark):
+    rows, labels = labelled(160, seed=4)
+    draw = random.Random(9)
+    lead = [prose(draw, 3200) for _ in range(8)]
+    docs = frame(spark, [(k, draw.choice(lead)[:14_000] + " " + t, *rest) for k, t, *rest in rows])
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    assert b"vexol" in model.toxic or b"zumpf" in model.toxic or b"quazj" in model.toxic
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [k for k, *_ in rows if fold(k) == 0]
+    assert sum((got[k] >= 0.5) == (k % 4 == 0) for k in held) >= 0.9 * len(held)
+    assert min(len(t) for t in lead) > 10_000 and toxicity.train(docs, marks, most_bytes=1).toxic is not None
+
+
 def test_toxicity_of_awkward_texts(spark):
     rows, labels = labelled(80)
     model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
