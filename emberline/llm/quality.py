@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PieceModel, UnitCache, id_cache, load
@@ -20,6 +21,9 @@ from .text import Words, combined, cuts, sums, windows
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+#: Least spreads: of tokens per word and characters per token as a share of the median, of entropy in bits. Prose is at 0.3, 0.17 and 0.04 or more.
+FLOORS = {"tokens_per_word": 0.0, "chars_per_token": 0.0}
+ENTROPY_FLOOR = 0.0
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
 
@@ -84,12 +88,12 @@ def measure(column: pa.Array, model: PieceModel, cache: UnitCache) -> dict[str,
 
 
 def measures(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", group_col: str = "lang") -> DataFrame:
-    """(id, group, counts and measures) of every row; a null group is ``und``, a null text empty."""
+    """(id, group, digest of the text, counts and measures) of every row; a null group is ``und``, a null text empty."""
     bound_batches(docs.sparkSession)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
     shares = ("byte_share", "token_entropy", "chars_per_token")
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, grp string, " + ", ".join([f"{c} bigint" for c in counts] + [f"{c} double" for c in shares])
+    schema = f"id {kind}, grp string, digest binary, " + ", ".join([f"{c} bigint" for c in counts] + [f"{c} double" for c in shares])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = load(model_path), id_cache(model_path)
@@ -97,25 +101,31 @@ def measures(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             for cut in cuts(batch, "text", 1 << 20):
                 found = measure(cut.column(2), model, cache)
                 columns = [pa.array(found[c], pa.int64()) for c in counts] + [pa.array(found[c], pa.float64()) for c in shares]
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), *columns], ["id", "grp", *counts, *shares])
+                digests = pa.array([xxhash.xxh3_128_digest((t or "").encode()) for t in cut.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), digests, *columns], ["id", "grp", "digest", *counts, *shares])
 
     group = F.coalesce(F.col(group_col).cast("string"), F.lit("und"))
     return docs.select(F.col(id_col).alias("id"), group.alias("grp"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def middle(name: str, of: Column) -> Column:
+    return F.percentile_approx(of, 0.5, 10_000).alias(name)
+
+
 def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", group_col: str = "lang", width: float = 5.5, byte_share_most: float = 0.25, least_group: int = 30) -> DataFrame:
     """(id, counts, measures, base_failed, kept) of every row.
 
     ``base_failed``: under 50 words, or over half the words in repeated three-word windows.
-    Bands are learned per group (language or script) from all documents that pass the base
+    Bands are learned per group (language or script) from the distinct texts that pass the base
     rules. Tokens per word and characters per token vary with one over the square root of a
     text's words, so a text is rejected whose distance from its group's median, times that
     root, is over ``width`` times the group's robust spread (1.4826 x the median of such
-    distances). Token entropy grows with length and is held against texts of its group within
+    distances, or its floor). Token entropy grows with length and is held against texts of its group within
     the same power of two of tokens. Tokens per word may be off either way; many characters per
     token and a high entropy speak for a text, so these bands are open above. A byte share is rejected over ``byte_share_most`` beyond the
-    group's median. A group, or length class, of under ``least_group`` documents has no
-    bands. Null texts are empty and fail the base rules; rows that repeat stay repeated; an
+    group's median. A group of under ``least_group`` distinct texts is held against the outermost bands of all
+    groups that have their own (or, without any, the bands of all texts); a length class of under that against adjacent classes,
+    then the group, then all texts. Null texts are empty and fail the base rules; rows that repeat stay repeated; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -125,28 +135,57 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     length = F.when(F.col("n_tokens") > 0, F.floor(F.log2(F.col("n_tokens").cast("double")))).otherwise(0)
     rows = materialise(rows.withColumns({"base_failed": failed, "root": root, "length": length, "tokens_per_word": F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")).otherwise(0.0)}), "measures")
 
-    def middle(name: str, of) -> list:
-        return F.percentile_approx(of, 0.5, 10_000).alias(name)
-
-    passed = rows.filter("NOT base_failed")
-    plain = ("tokens_per_word", "chars_per_token")
-    mid = passed.groupBy("grp").agg(F.count("*").alias("n"), middle("mid_byte", F.col("byte_share")), *[middle(f"mid_{c}", F.col(c)) for c in plain])
-    mid = mid.filter(F.col("n") >= least_group).drop("n")
-    spread = _small(spark, mid, passed, "grp").groupBy("grp").agg(*[middle(f"dev_{c}", F.abs(F.col(c) - F.col(f"mid_{c}")) * F.col("root")) for c in plain])
-    bands = mid.join(spread, "grp")
-    by_length = passed.groupBy("grp", "length").agg(F.count("*").alias("n"), middle("mid_entropy", F.col("token_entropy"))).filter(F.col("n") >= least_group).drop("n")
-    loose = _small(spark, by_length, passed, "grp", "length").groupBy("grp", "length").agg(middle("dev_entropy", F.abs(F.col("token_entropy") - F.col("mid_entropy"))))
-    joined = _small(spark, bands, rows, "grp", how="left")
-    joined = _small(spark, by_length.join(loose, ["grp", "length"]), joined, "grp", "length", how="left")
-    outside = F.col("byte_share") > F.col("mid_byte") + byte_share_most
-    beyond = lambda gap, dev: gap > width * 1.4826 * F.col(dev)
-    outside = outside | beyond(F.abs(F.col("tokens_per_word") - F.col("mid_tokens_per_word")) * F.col("root"), "dev_tokens_per_word")
-    outside = outside | beyond((F.col("mid_chars_per_token") - F.col("chars_per_token")) * F.col("root"), "dev_chars_per_token")
-    rejected = F.coalesce(outside, F.lit(False)) | F.coalesce(beyond(F.col("mid_entropy") - F.col("token_entropy"), "dev_entropy"), F.lit(False))
+    measured = ("root", "length", "byte_share", "tokens_per_word", "chars_per_token", "token_entropy")
+    texts = materialise(rows.filter("NOT base_failed").select("grp", "digest", *measured), "distinct")
+    plain = tuple(FLOORS)
+
+    def learned(some: DataFrame, least: int) -> DataFrame:
+        mid = some.groupBy("grp").agg(F.count("*").alias("n"), middle("mid_byte", F.col("byte_share")), *[middle(f"mid_{c}", F.col(c)) for c in plain])
+        mid = mid.filter(F.col("n") >= least).drop("n")
+        spread = _small(spark, mid, some, "grp").groupBy("grp").agg(*[middle(f"dev_{c}", F.abs(F.col(c) - F.col(f"mid_{c}")) * F.col("root")) for c in plain])
+        return mid.join(spread, "grp").withColumns({f"dev_{c}": F.greatest(f"dev_{c}", floor * F.col(f"mid_{c}")) for c, floor in FLOORS.items()})
+
+    bands = materialise(learned(texts, least_group), "bands")
+    known = bands if bands.count() else learned(texts.dropDuplicates(["digest"]).withColumn("grp", F.lit("")), 1)
+    low, high = [f"mid_{c}" for c in plain], ["mid_byte", "mid_tokens_per_word"]
+    pool = known.agg(*[F.min(c).alias(f"low_{c}") for c in low], *[F.max(c).alias(f"high_{c}") for c in high], *[F.max(f"dev_{c}").alias(f"all_dev_{c}") for c in plain])
+    joined = _small(spark, bands, rows, "grp", how="left").crossJoin(F.broadcast(pool))
+    joined = _small(spark, _entropy_bands(spark, texts, least_group), joined, "grp", "length", how="left")
+    lowest, highest = ({c: F.coalesce(c, f"{edge}_{c}") for c in names} for edge, names in (("low", low), ("high", high)))
+    limit = {c: width * 1.4826 * F.coalesce(f"dev_{c}", f"all_dev_{c}") for c in plain}
+    words, chars = F.col("tokens_per_word"), F.col("chars_per_token")
+    outside = F.col("byte_share") > highest["mid_byte"] + byte_share_most
+    outside = outside | ((words - highest["mid_tokens_per_word"]) * F.col("root") > limit["tokens_per_word"])
+    outside = outside | ((lowest["mid_tokens_per_word"] - words) * F.col("root") > limit["tokens_per_word"])
+    outside = outside | ((lowest["mid_chars_per_token"] - chars) * F.col("root") > limit["chars_per_token"])
+    outside = outside | (F.col("mid_entropy") - F.col("token_entropy") > width * 1.4826 * F.col("dev_entropy"))
+    rejected = F.coalesce(outside, F.lit(False))
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "tokens_per_word", *MEASURES, "base_failed")
     return joined.select(F.col("id").alias(id_col), *out, (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
+def _entropy_bands(spark, texts: DataFrame, least: int) -> DataFrame:
+    """(grp, length, mid_entropy, dev_entropy) of every class of ``texts``, from the nearest pool of ``least`` texts.
+
+    The pools are the class, it and the adjacent classes, its group, and all texts, however few. Twice
+    the tokens add one bit at most, so a longer text counts in a shorter class with one bit less for each doubling.
+    """
+    wanted, found = materialise(texts.select("grp", "length").distinct(), "classes"), None
+    for reach, alone in ((0, True), (1, True), (None, True), (None, False)):
+        to = F.broadcast(wanted.withColumnRenamed("length", "class").withColumnRenamed("grp", "of"))
+        near = F.abs(F.col("length") - F.col("class")) <= reach if reach is not None else F.lit(True)
+        pool = (texts if alone else texts.dropDuplicates(["digest"])).join(to, near & (F.col("grp") == F.col("of")) if alone else near)
+        pool = pool.select(F.col("of").alias("grp"), F.col("class").alias("length"), (F.col("token_entropy") - F.greatest(F.col("length") - F.col("class"), F.lit(0))).alias("e"))
+        mid = pool.groupBy("grp", "length").agg(F.count("*").alias("n"), middle("mid_entropy", F.col("e"))).filter(F.col("n") >= (least if alone else 1)).drop("n")
+        loose = _small(spark, mid, pool, "grp", "length").groupBy("grp", "length").agg(middle("dev_entropy", F.abs(F.col("e") - F.col("mid_entropy"))))
+        bands = mid.join(loose, ["grp", "length"]).withColumn("dev_entropy", F.greatest("dev_entropy", F.lit(ENTROPY_FLOOR)))
+        found = materialise(bands if found is None else found.unionByName(bands), "bands")
+        wanted = materialise(wanted.join(found, ["grp", "length"], "left_anti"), "classes")
+        if not wanted.count():
+            break
+    return found
+
+
 def _small(spark, bands: DataFrame, rows: DataFrame, *keys: str, how: str = "inner", most: int = 10_000) -> DataFrame:
     """``rows`` joined with ``bands``; these are broadcast if they are found to be at most ``most`` rows."""
     bands = materialise(bands, "bands")

@@ -331,6 +331,29 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert sum(got[k] for k in range(120)) >= 118 and not any(got[k] for k in range(120, 130))
 
 
+def prose_and_junk(seed):
+    draw = random.Random(seed)
+    syllables = ["tion", "the", "er", "ing", "and", "re", "on", "st", "en", "ha"]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randrange(1, 4)))
+    return (lambda n=200: " ".join(word() for _ in range(n))), (lambda n=200: " ".join(word() + draw.choice(["###", "$$$", "%%%"]) for _ in range(n)))
+
+
+def kept_of(spark, rows):
+    return {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY).collect()}
+
+
+def test_quality_judges_rare_languages_and_lengths(spark):
+    clean, junk = prose_and_junk(6)
+    few = " ".join(f"{a} {b}" for a in ("one", "two") for b in ("one", "two", "on", "to")) + " "
+    rows = [(k, clean(), "en") for k in range(100)] + [(200, clean(), "xx"), (201, junk(), "xx"), (202, clean(3000), "en")]
+    draw = random.Random(2)
+    rows += [(203, " ".join(draw.choice(["the", "and", "on", "re", "tion"]) for _ in range(400)), "en"), (204, few, "en")]
+    got = kept_of(spark, rows)
+    assert sum(got[k] for k in range(100)) >= 98 and got[200] and not got[201] and got[202]
+    alone = kept_of(spark, [(k, clean(), "xx") for k in range(20)] + [(20, junk(), "xx")])
+    assert sum(alone[k] for k in range(20)) >= 19 and not alone[20]
+
+
 def base_spans(text):
     out = []
     letters = lambda s: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s)
