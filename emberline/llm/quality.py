@@ -22,8 +22,8 @@ from .text import Words, combined, cuts, sums, windows
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 #: Least spreads: of tokens per word and characters per token as a share of the median, of entropy in bits. Prose is at 0.3, 0.17 and 0.04 or more.
-FLOORS = {"tokens_per_word": 0.0, "chars_per_token": 0.0}
-ENTROPY_FLOOR = 0.0
+FLOORS = {"tokens_per_word": 0.15, "chars_per_token": 0.1}
+ENTROPY_FLOOR = 0.03
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
 
@@ -136,7 +136,7 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     rows = materialise(rows.withColumns({"base_failed": failed, "root": root, "length": length, "tokens_per_word": F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")).otherwise(0.0)}), "measures")
 
     measured = ("root", "length", "byte_share", "tokens_per_word", "chars_per_token", "token_entropy")
-    texts = materialise(rows.filter("NOT base_failed").select("grp", "digest", *measured), "distinct")
+    texts = materialise(rows.filter("NOT base_failed").select("grp", "digest", *measured).dropDuplicates(["grp", "digest"]), "distinct")
     plain = tuple(FLOORS)
 
     def learned(some: DataFrame, least: int) -> DataFrame:

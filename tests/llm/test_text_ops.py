@@ -354,6 +354,14 @@ def test_quality_judges_rare_languages_and_lengths(spark):
     assert sum(alone[k] for k in range(20)) >= 19 and not alone[20]
 
 
+def test_quality_bands_are_not_a_copied_text(spark):
+    clean, junk = prose_and_junk(7)
+    copy = clean()
+    rows = [(k, copy, "en") for k in range(150)] + [(200 + k, clean(), "en") for k in range(60)] + [(300, junk(), "en")]
+    got = kept_of(spark, rows)
+    assert got[0] and sum(got[k] for k in range(200, 260)) >= 58 and not got[300]
+
+
 def base_spans(text):
     out = []
     letters = lambda s: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s)
