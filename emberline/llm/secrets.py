@@ -23,6 +23,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
+LEAST = 20  # characters of a random string
 
 HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
@@ -52,11 +53,15 @@ class CharMarkov:
 
     def score(self, text: bytes) -> float:
         """Mean log2 probability of a character of ``text``."""
+        return float(self.each(text).mean())
+
+    def each(self, text: bytes) -> np.ndarray:
+        """Log2 probability of each character of ``text``."""
         codes = np.concatenate([np.zeros(self.order, np.int64), CLASS[np.frombuffer(text, np.uint8)]])
         at = np.zeros(len(text), np.int64)
         for k in range(self.order + 1):
             at = at * SYMBOLS + codes[k : k + len(text)]
-        return float(self.log[at].mean())
+        return self.log[at]
 
 
 def labelled_samples(words: list[str], n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
@@ -94,7 +99,10 @@ class SecretModel:
         self.random = CharMarkov((s for s, y in train if y), order)
         self.ordinary = CharMarkov((s for s, y in train if not y), order)
         scores = sorted(self.ratio(s.encode()) for s, y in held if not y)
+        self.bits, self.least = math.inf, LEAST
+        sums = sorted(self.best(s.encode())[0] for s, y in held if not y)
         self.threshold = max(0.0, scores[min(len(scores) - 1, math.ceil((1 - false_rate) * len(scores)))]) if scores else 0.0
+        self.bits = max(0.0, sums[min(len(sums) - 1, math.ceil((1 - false_rate) * len(sums)))]) if sums else 0.0
 
     def ratio(self, text: bytes) -> float:
         """Log2 likelihood ratio of random to ordinary, per character."""
@@ -105,6 +113,39 @@ class SecretModel:
         kinds = sum(bool(re.search(k, text)) for k in (rb"[0-9]", rb"[A-Za-z]"))
         return kinds == 2 and self.ratio(text) > self.threshold
 
+    def best(self, text: bytes) -> tuple[float, int, int]:
+        """(bits, start, end) of the part of ``text`` with the largest sum of ratios; 0 bits if it cannot be a key.
+
+        Ends within four characters of one of ``/_=-`` or the end of ``text`` are moved there; a
+        part must then have ``least`` characters, digits and letters.
+        """
+        total = np.concatenate([[0.0], np.cumsum(self.random.each(text) - self.ordinary.each(text))])
+        low = np.minimum.accumulate(total)
+        end = int(np.argmax(total - low))
+        start = int(np.argmin(total[: end + 1]))
+        bits = float(total[end] - total[start])
+        for k in range(1, 5):
+            if start - k < 0 or text[start - k] in b"/_=-":
+                start -= k - 1
+                break
+        for k in range(5):
+            if end + k >= len(text) or text[end + k] in b"/_=-":
+                end += k
+                break
+        part = text[start:end]
+        fits = len(part) >= self.least and re.search(rb"[0-9]", part) and re.search(rb"[A-Za-z]", part)
+        return (bits if fits else 0.0), start, end
+
+    def secrets(self, text: bytes) -> list[tuple[int, int]]:
+        """(start, end) of the parts of a run that count as random: the whole of it, or parts of the most evidence."""
+        if len(text) < self.least:
+            return []
+        bits, start, end = self.best(text)
+        if bits <= self.bits or len(text) - (end - start) < 8:
+            return [(0, len(text))] if self.is_secret(text) or bits > self.bits else []
+        rest = [(start, end)] + self.secrets(text[:start])
+        return rest + [(end + a, end + b) for a, b in self.secrets(text[end:])]
+
 
 @lru_cache(maxsize=2)
 def default_model(model_path: str) -> SecretModel:
@@ -123,12 +164,23 @@ def runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
     return starts[long], ends[long]
 
 
-def text_spans(column: pa.Array, model: SecretModel, least: int = 20) -> list[list[tuple[int, int, int]]]:
+def gaps(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of start to end that no span of the sorted ``spans`` covers."""
+    for s, _, e in spans:
+        if e > start and s < end:
+            if s > start:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
+def text_spans(column: pa.Array, model: SecretModel, least: int = LEAST) -> list[list[tuple[int, int, int]]]:
     """Per text its spans (start, kind's place in ``KINDS``, end) in bytes, sorted.
 
     The known kinds are matched leftmost and without overlap, each for itself. ``random`` spans
-    are runs of at least ``least`` characters ``[A-Za-z0-9+/_=-]`` that the models call random
-    and no known kind's span touches.
+    are runs of at least ``least`` characters ``[A-Za-z0-9+/_=-]``, outside the spans of the known
+    kinds, that the models call random, or the parts of such runs that they do.
     """
     data, offsets = raw(column)
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(column))]
@@ -143,11 +195,13 @@ def text_spans(column: pa.Array, model: SecretModel, least: int = 20) -> list[li
     for start, end in zip(*runs(HEX[data], offsets, HEX_LEAST), strict=True):
         i = int(np.searchsorted(offsets, start, side="right")) - 1
         found[i].append((int(start - offsets[i]), 2, int(end - offsets[i])))
+    known = [sorted(spans) for spans in found]
     for start, end in zip(*runs(CANDIDATE[data], offsets, least), strict=True):
         i = int(np.searchsorted(offsets, start, side="right")) - 1
         a, b = int(start - offsets[i]), int(end - offsets[i])
-        if all(e <= a or s >= b for s, _, e in found[i]) and model.is_secret(whole[start:end]):
-            found[i].append((a, 3, b))
+        for c, d in gaps(a, b, known[i]):
+            if d - c >= least:
+                found[i] += [(c + x, 3, c + y) for x, y in model.secrets(whole[int(offsets[i]) + c : int(offsets[i]) + d])]
     return [sorted(spans) for spans in found]
 
 

@@ -410,3 +410,21 @@ def test_empty_tables(spark):
     assert decontamination.contained_items(docs, items).count() == decontamination.decontaminate(docs, items).count() == 0
     assert quality.quality_rules(docs, VOCABULARY).count() == 0
     assert secrets.scan(docs, VOCABULARY).count() == 0
+
+
+def drawn_keys(n, sizes, seed=21):
+    draw = random.Random(seed)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(draw.choice(chars) for _ in range(draw.choice(sizes))) for _ in range(2 * n)]
+    return [k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)][:n]
+
+
+def found_share(keys, text, model):
+    spans = secrets.text_spans(pa.array([text.format(k) for k in keys]), model)
+    at = text.index("{")
+    return sum(any(n == 3 and s <= at + 4 and e >= at + len(k) - 4 and s >= at - 4 for s, n, e in some) for k, some in zip(keys, spans)) / len(keys)
+
+
+@pytest.mark.parametrize("text", ["see /users/accounts/settings/{} now", "callback_session_identifier_{} x", "token=abcdefgh1. {}"])
+def test_random_keys_glued_to_ordinary_text(text):
+    assert found_share(drawn_keys(200, [20, 24, 32]), text, secrets.default_model(VOCABULARY)) >= 0.9
