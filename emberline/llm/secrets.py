@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
-LEAST = 20  # characters of a random string
+LEAST = 16  # characters of a random string: the shortest that the models are trained on
 
 HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True

@@ -428,3 +428,7 @@ def found_share(keys, text, model):
 @pytest.mark.parametrize("text", ["see /users/accounts/settings/{} now", "callback_session_identifier_{} x", "token=abcdefgh1. {}"])
 def test_random_keys_glued_to_ordinary_text(text):
     assert found_share(drawn_keys(200, [20, 24, 32]), text, secrets.default_model(VOCABULARY)) >= 0.9
+
+
+def test_random_keys_under_twenty_characters():
+    assert found_share(drawn_keys(200, [16, 17, 18, 19]), "key {} end", secrets.default_model(VOCABULARY)) >= 0.95
