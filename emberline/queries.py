@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -463,13 +464,18 @@ def contract_checks(spark, d):
 
 @query
 def gbt_fit_predict(spark, d):
-    """Trees fitted on the early months of one queue's jobs and scored on the late ones."""
-    m = matrix_of(spark, d).filter("cluster = 'ASIA'")
+    """Trees fitted on the early months of each cluster's jobs and scored on its late ones."""
+    rows = matrix_of(spark, d)
     features = ["obs_rows", "timelimit", "cpuuser_mean", "cpuuser_std", "memused_mean", "queue_wait", "gpu_mean"]
-    train, fills = models.design(m.filter(F.col("month") < "1999-01"), features)
-    late, _ = models.design(m.filter(F.col("month") >= "1999-01"), features, fills)
-    model = models.fit(train.select("features", "target"), 2.0, rounds=5, depth=3)
-    return models.score(model, late).select("jid", "target", "score")
+
+    def of_cluster(cluster: str) -> DataFrame:
+        m = rows.filter(F.col("cluster") == cluster)
+        train, fills = models.design(m.filter(F.col("month") < "1999-01"), features)
+        late, _ = models.design(m.filter(F.col("month") >= "1999-01"), features, fills)
+        return models.score(models.fit(train.select("features", "target"), 2.0), late).select("jid", "target", "score")
+
+    clusters = sorted(r.cluster for r in rows.filter("cluster IS NOT NULL").select("cluster").distinct().collect())
+    return reduce(DataFrame.unionByName, [of_cluster(c) for c in clusters])
 
 
 @query

@@ -49,6 +49,14 @@ def test_trees_score_between_0_and_1(spark):
     assert rows and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_trees_score_the_late_jobs_of_every_cluster(spark):
+    from emberline.queries import matrix_of
+
+    late = matrix_of(spark, "/root/testdata/sf0.01").filter("month >= '1999-01'").select("jid", "cluster").collect()
+    scored = {r.jid for r in QUERIES["gbt_fit_predict"](spark, "/root/testdata/sf0.01").select("jid").collect()}
+    assert len({r.cluster for r in late}) == 5 and scored == {r.jid for r in late}
+
+
 def test_registry_without_the_training_data_operators(tmp_path):
     """The entry imports, and keeps its other queries, where that subpackage and the pipeline are gone."""
     import shutil
