@@ -21,7 +21,7 @@ from .text import Words, combined, cuts, sums, windows
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-#: Least spreads: of tokens per word and characters per token as a share of the median, of entropy in bits. Prose is at 0.3, 0.17 and 0.04 or more.
+#: Least spreads: of tokens per word and characters per token as a share of the median, of entropy in bits. On sf0.01 the languages are at 0.29, 0.17 and mostly 0.04 to 0.08; some classes of long texts are at 0.01 to 0.02.
 FLOORS = {"tokens_per_word": 0.15, "chars_per_token": 0.1}
 ENTROPY_FLOOR = 0.03
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
