@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from emberline.schema import BEFORE_START, DISPERSED, METRICS, NUMERIC, ORDER, PARTS, STATS, STRINGS, WINDOW
 
 
-def with_anchor(rows: DataFrame, chunk_start: float | None = None) -> DataFrame:
-    """Adds ``anchor``: the start, not before ``chunk_start``; a job without one takes its earliest reading."""
-    start = F.col("start_epoch")
-    clamped = F.when(start < chunk_start, F.lit(chunk_start)).otherwise(start) if chunk_start is not None else start
-    earliest = F.min("time_epoch").over(W.partitionBy("jid"))
-    return rows.withColumn("anchor", F.when(start.isNull(), earliest).otherwise(clamped))
+HOST_ORDER = tuple(c for c in ORDER if c != "host")  # the order of a host's readings
 
 
-def with_start_anchor(rows: DataFrame) -> DataFrame:
-    """Adds ``anchor`` for rows that all have a start: no window, so no shuffle."""
-    return rows.withColumn("anchor", F.col("start_epoch"))
+def with_anchor(rows: DataFrame, chunk_start: float | Column | None = None, all_started: bool = False) -> DataFrame:
+    """Adds ``anchor``: the start, not before ``chunk_start``.
+
+    A reading without a start takes the earliest of its job's readings without one. Only these
+    are aggregated for it, and with ``all_started``, for sources that state every start, nothing is.
+    """
+    start = F.col("start_epoch")
+    clamped = start
+    if chunk_start is not None:
+        edge = chunk_start if isinstance(chunk_start, Column) else F.lit(float(chunk_start))
+        clamped = F.when(start < edge, edge).otherwise(start)
+    if all_started:
+        return rows.withColumn("anchor", clamped)
+    earliest = rows.filter(start.isNull()).groupBy(F.col("jid").alias("__jid")).agg(F.min("time_epoch").alias("__earliest"))
+    joined = rows.join(earliest, start.isNull() & (F.col("jid") == F.col("__jid")), "left")
+    return joined.withColumn("anchor", F.coalesce(clamped, "__earliest")).drop("__jid", "__earliest")
 
 
 def early_window(rows: DataFrame, before: float = BEFORE_START, after: float = WINDOW) -> DataFrame:
@@ -43,9 +51,19 @@ def most_complete(rows: DataFrame, keys: tuple[str, ...] = ("jid", "host", "time
     return rows.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
 
 
-def window_rows(rows: DataFrame) -> DataFrame:
-    """The early window's readings, one per job, host and time, with their bucket."""
-    return most_complete(early_window(with_start_anchor(rows))).withColumn("part", bucket(F.col("elapsed")))
+def window_rows(rows: DataFrame, chunk_start: float | Column | None = None, all_started: bool = False) -> DataFrame:
+    """The early window's readings, one per job, host and time, with their bucket; anchors as by ``with_anchor``.
+
+    A column ``chunk_start`` of ``rows`` (see ``read_raw``) is used where no other is given. Readings
+    with a start are cut to the window before anything is shuffled.
+    """
+    if chunk_start is None and "chunk_start" in rows.columns:
+        chunk_start = F.col("chunk_start")
+    if not all_started:
+        edge = F.col("start_epoch") if chunk_start is None else F.greatest("start_epoch", chunk_start if isinstance(chunk_start, Column) else F.lit(float(chunk_start)))
+        rows = rows.filter(F.col("start_epoch").isNull() | (F.col("time_epoch") - edge).between(-BEFORE_START, WINDOW))
+    inside = early_window(with_anchor(rows, chunk_start, all_started))
+    return most_complete(inside.repartition("jid", "host")).withColumn("part", bucket(F.col("elapsed")))
 
 
 def _stat(metric: str, stat: str, when: Column | None = None) -> Column:
@@ -90,6 +108,12 @@ def job_meta(rows: DataFrame, more: tuple[str, ...] = ("cluster", "month", "exit
     return rows.groupBy("jid").agg(*[first(c) for c in columns], F.count_distinct("host").alias("n_hosts_seen"))
 
 
+def column_name(stat: str, part: str) -> str:
+    """The stored name of a statistic in a bucket: ``<metric>_<part>_<stat>``, ``rows_<part>``."""
+    metric, _, kind = stat.rpartition("_")
+    return f"{metric}_{part}_{kind}" if metric in METRICS and kind in STATS else f"{stat}_{part}"
+
+
 def widen(parts: DataFrame) -> DataFrame:
     """Per-bucket columns side by side, one row per job; counts and sums of an absent bucket are 0."""
     names = [c for c in parts.columns if c not in ("jid", "part")]
@@ -98,14 +122,63 @@ def widen(parts: DataFrame) -> DataFrame:
     for k, part in enumerate(PARTS):
         for c in names:
             value = F.max(F.when(F.col("part") == k, F.col(c)))
-            out.append((F.coalesce(value, F.lit(0)) if c.endswith(additive) or c in ("rows", "hosts") else value).alias(f"{c}_{part}"))
+            out.append((F.coalesce(value, F.lit(0)) if c.endswith(additive) or c in ("rows", "hosts") else value).alias(column_name(c, part)))
     return parts.groupBy("jid").agg(*out)
 
 
-def accumulators(rows: DataFrame) -> DataFrame:
-    """One row per job from readings in the early window (see ``window_rows``): statistics, shape, dispersion, description."""
-    parts = part_stats(rows).join(part_shape(rows), ["jid", "part"])
-    return widen(parts).join(job_meta(rows), "jid").join(host_dispersion(rows), "jid", "left")
+def _stat_sql(metric: str, stat: str, inside: str) -> str:
+    """The SQL of one statistic of a metric over the readings that are ``inside``; edges as (order, value)."""
+    value = f"IF({inside}, {metric}, NULL)"
+    edge = f"IF({inside} AND {metric} IS NOT NULL, struct({', '.join(HOST_ORDER)}, {metric} AS v), NULL)"
+    return {
+        "cnt": f"count({value})",
+        "sum": f"coalesce(sum({value}), 0D)",
+        "sq": f"coalesce(sum({value} * {value}), 0D)",
+        "zero": f"count(IF({inside} AND {metric} = 0, 1, NULL))",
+        "min": f"min({value})",
+        "max": f"max({value})",
+        "first": f"min({edge})",
+        "last": f"max({edge})",
+    }[stat]
+
+
+def _per_host(rows: DataFrame, meta: tuple[str, ...]) -> DataFrame:
+    """Per job and host, all that merges over hosts: each bucket's statistics, and the edges as (order, value)."""
+    out = []
+    for k, part in enumerate(PARTS):
+        inside = f"part = {k}"
+        out += [f"count(IF({inside}, 1, NULL)) AS rows_{part}", f"min(IF({inside}, elapsed, NULL)) AS tmin_{part}", f"max(IF({inside}, elapsed, NULL)) AS tmax_{part}"]
+        out += [f"{_stat_sql(m, s, inside)} AS {m}_{part}_{s}" for m in METRICS for s in STATS]
+    out += [f"{_stat_sql(c, 'first', 'true')} AS {c}" for c in meta]
+    return rows.groupBy("jid", "host").agg(*map(F.expr, out))
+
+
+def accumulators(rows: DataFrame, more: tuple[str, ...] = ("cluster", "month", "exitcode")) -> DataFrame:
+    """One row per job from readings in the early window (see ``window_rows``): statistics, shape, dispersion, description.
+
+    Readings are reduced to one row per job and host, where they already lie after the window was
+    made, and these to one per job: the window is read once, and a job of many hosts is merged from their rows.
+    Null hosts count as readings and not as hosts. The aggregates are SQL text, each one call into the JVM.
+    """
+    meta = ("start_epoch", "submit_epoch", *NUMERIC, *STRINGS, *[c for c in more if c in rows.columns])
+    known = "host IS NOT NULL"
+
+    def edge(c: str, which: str) -> str:
+        order = ", ".join(f"{c}.elapsed AS o{k}" if o == "elapsed" else f"host AS o{k}" if o == "host" else f"{c}.{o} AS o{k}" for k, o in enumerate(ORDER))
+        return f"{which}(IF({c} IS NOT NULL, struct({order}, {c}.v AS v), NULL)).v AS {c}"
+
+    out = []
+    for part in PARTS:
+        out += [f"sum(rows_{part}) AS rows_{part}", f"count(IF({known} AND rows_{part} > 0, 1, NULL)) AS hosts_{part}", f"min(tmin_{part}) AS tmin_{part}", f"max(tmax_{part}) AS tmax_{part}"]
+        for m in METRICS:
+            out += [f"sum({m}_{part}_{s}) AS {m}_{part}_{s}" for s in ("cnt", "sum", "sq", "zero")] + [f"{s}({m}_{part}_{s}) AS {m}_{part}_{s}" for s in ("min", "max")]
+            out += [edge(f"{m}_{part}_first", "min"), edge(f"{m}_{part}_last", "max")]
+    out += [edge(c, "min") for c in meta] + [f"count(IF({known}, 1, NULL)) AS n_hosts_seen"]
+    for m in DISPERSED:
+        total, n = (" + ".join(f"{m}_{p}_{s}" for p in PARTS) for s in ("sum", "cnt"))
+        mean = f"IF({known}, ({total}) / nullif({n}, 0), NULL)"
+        out += [f"stddev_samp({mean}) AS hostdisp_{m}_std", f"min({mean}) AS hostdisp_{m}_min", f"max({mean}) AS hostdisp_{m}_max", f"count({mean}) AS hostdisp_{m}_cnt"]
+    return _per_host(rows, meta).groupBy("jid").agg(*map(F.expr, out))
 
 
 def merge_parts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -140,7 +213,7 @@ def first_seen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def fallback_rows(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Window readings of jobs anchored at their first reading instead of their start."""
     anchored = rows.join(seen, "jid").withColumn("anchor", F.col("first_seen")).drop("first_seen")
-    return most_complete(early_window(anchored)).withColumn("part", bucket(F.col("elapsed")))
+    return most_complete(early_window(anchored).repartition("jid", "host")).withColumn("part", bucket(F.col("elapsed")))
 
 
 def prefer_strict(strict: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -22,11 +22,11 @@ def unseen_rates(train: DataFrame, reference: DataFrame, fields: tuple[str, ...]
 def category_holdout(rows: DataFrame, field: str, rate: float, seed: str) -> DataFrame:
     """(category, n): whole categories, in md5 order, taken while the rows taken so far are under ``rate`` of all.
 
-    Nulls are no category. Running totals go by buckets of the md5, so no task gets them all.
+    Nulls are no category. Running totals go by ranges of the md5, so no task gets them all.
     """
     counts = rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("category")).agg(F.count("*").alias("n"))
-    keyed = counts.withColumn("__md5", F.md5(F.concat("category", F.lit(seed)))).withColumn("__bucket", F.substring("__md5", 1, 2))
-    taken = running(keyed, [], [F.col("__md5"), F.col("category")], {"taken": F.col("n")})
+    keyed = counts.withColumn("__md5", F.md5(F.concat("category", F.lit(seed))))
+    taken = running(keyed, [], [F.col("__md5").asc(), F.col("category").asc()], {"taken": F.col("n")})
     return taken.filter(F.col("taken") - F.col("n") < rate * rows.count()).select("category", "n")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.functions.scalar import composite
+from emberline.operators.ordered import placed
 from emberline.schema import CATEGORIES, KEYS, LEAST_FREQUENCY, SMOOTHING
 
 
@@ -21,13 +22,13 @@ def target_stats(rows: DataFrame) -> DataFrame:
     return long_keys(rows, ("target",)).groupBy("key_name", "key").agg(F.sum("target").alias("positives"), F.count("*").alias("n"))
 
 
-def prior(rows: DataFrame) -> float:
-    """The mean target."""
-    return float(rows.agg(F.avg("target")).first()[0] or 0.0)
+def prior(rows: DataFrame) -> Column:
+    """The mean target, 0 without any: a scalar subquery, so that nothing runs ahead of the query that uses it."""
+    return F.coalesce(rows.agg(F.avg("target")).scalar(), F.lit(0.0))
 
 
-def _encoded(rows: DataFrame, p: float) -> DataFrame:
-    te = (F.coalesce("positives", F.lit(0)) + SMOOTHING * F.lit(p)) / (F.coalesce("n", F.lit(0)) + SMOOTHING)
+def _encoded(rows: DataFrame, p: Column) -> DataFrame:
+    te = (F.coalesce("positives", F.lit(0)) + SMOOTHING * p) / (F.coalesce("n", F.lit(0)) + SMOOTHING)
     return rows.select("jid", "key_name", te.alias("te"), F.log1p(F.coalesce("n", F.lit(0)).cast("double")).alias("tc"))
 
 
@@ -46,16 +47,20 @@ def te_expanding(rows: DataFrame) -> DataFrame:
 
 def te_transform(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """(jid, key_name, te, tc) of ``rows`` by the statistics of ``fitted``; an unseen key gets the prior and 0."""
-    joined = long_keys(rows).join(target_stats(fitted), ["key_name", "key"], "left")
-    return _encoded(joined, prior(fitted))
+    return with_statistics(rows, target_stats(fitted), prior(fitted))
+
+
+def with_statistics(rows: DataFrame, stats: DataFrame, p: Column) -> DataFrame:
+    """(jid, key_name, te, tc) of ``rows`` by stored ``target_stats`` and the prior."""
+    return _encoded(long_keys(rows).join(stats, ["key_name", "key"], "left"), p)
 
 
 def label_codes(rows: DataFrame, least: int = LEAST_FREQUENCY) -> DataFrame:
     """(field, category, n, code): codes from 1 by falling frequency, then name; 0 under ``least`` occurrences."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias("category")) for c in CATEGORIES])
     counts = rows.select(F.inline(pairs)).groupBy("field", "category").agg(F.count("*").alias("n"))
-    order = W.partitionBy("field").orderBy(F.col("n").desc(), "category")
-    return counts.select("field", "category", "n", F.when(F.col("n") >= least, F.row_number().over(order)).otherwise(0).alias("code"))
+    ranked = placed(counts, ["field"], [F.col("n").desc(), F.col("category").asc()], "__at")
+    return ranked.select("field", "category", "n", F.when(F.col("n") >= least, F.col("__at") + 1).otherwise(0).cast("int").alias("code"))
 
 
 def wide(encoded: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Accumulators to the feature matrix of an early window."""
+"""Accumulators to the feature matrix of an early window.
 
-from __future__ import annotations
+Features are written as SQL text: a matrix has over 150 of them, and as text each is one call into the JVM.
+"""
 
-import math
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.scalar import at_least, finite, host_count, is_positive, log1p_floor, ratio, row_max, row_min, row_sum, timelimit_bucket
+from emberline.functions.scalar import host_count, is_positive, timelimit_bucket
 from emberline.schema import CATEGORIES, DISPERSED, METRICS, PARTS, POSITIVE, TINY
 
+EPSILON = f"{TINY!r}D"
+
 
 def window_parts(seconds: float) -> list[str]:
     """The buckets that end within ``seconds`` of the start."""
@@ -19,115 +22,125 @@ def window_parts(seconds: float) -> list[str]:
     return parts
 
 
-def _over(name: str, parts: list[str]) -> list[Column]:
-    return [F.col(f"{name}_{p}") for p in parts]
+def _ratio(a: str, b: str) -> str:
+    """a / b, null for a zero or null denominator."""
+    return f"(({a}) / nullif({b}, 0D))"
+
+
+def _log(x: str) -> str:
+    """ln(1 + max(x, 0)), null for null."""
+    return f"ln(1 + IF({x} < 0, 0D, {x}))"
+
+
+def _sum(names: list[str]) -> str:
+    return "CAST(" + " + ".join(f"coalesce({c}, 0)" for c in names) + " AS DOUBLE)" if names else "0D"
 
 
-def observation(parts: list[str], seconds: float) -> dict[str, Column]:
-    rows, hosts = row_sum(*_over("rows", parts)), row_max(*_over("hosts", parts))
-    first, last = row_min(*_over("tmin", parts)), row_max(*_over("tmax", parts))
+def _edge(which: str, names: list[str]) -> str:
+    """The least or greatest of columns, nulls aside."""
+    return f"{which}({', '.join(names)})" if len(names) > 1 else names[0]
+
+
+def _over(name: str, parts: list[str]) -> list[str]:
+    return [f"{name}_{p}" for p in parts]
+
+
+def observation(parts: list[str], seconds: float) -> dict[str, str]:
+    rows, hosts = _sum(_over("rows", parts)), f"CAST({_edge('greatest', _over('hosts', parts))} AS DOUBLE)"
+    first, last = _edge("least", _over("tmin", parts)), _edge("greatest", _over("tmax", parts))
     return {
-        "obs_rows": rows.cast("double"),
-        "obs_hosts": hosts.cast("double"),
+        "obs_rows": rows,
+        "obs_hosts": hosts,
         "obs_first_offset": first,
         "obs_last_offset": last,
-        "obs_span": last - first,
-        "obs_rows_per_host": ratio(rows.cast("double"), hosts.cast("double")),
-        "obs_delayed": F.coalesce(first > 60, F.lit(False)).cast("int"),
-        "obs_reached_end": F.coalesce(last >= seconds - 120, F.lit(False)).cast("int"),
-    } | {f"obs_active_{p}": (F.coalesce(F.col(f"rows_{p}"), F.lit(0)) > 0).cast("int") for p in parts}
+        "obs_span": f"{last} - {first}",
+        "obs_rows_per_host": _ratio(rows, hosts),
+        "obs_delayed": f"IF({first} > 60, 1, 0)",
+        "obs_reached_end": f"IF({last} >= {seconds - 120!r}D, 1, 0)",
+    } | {f"obs_active_{p}": f"IF(rows_{p} > 0, 1, 0)" for p in parts}
 
 
-def resources(parts: list[str]) -> dict[str, Column]:
-    limit, hosts, cores = F.col("timelimit"), F.col("nhosts"), F.col("ncores")
-    seen = row_max(*_over("hosts", parts)).cast("double")
-    return {
-        "timelimit": limit,
-        "nhosts": hosts,
-        "ncores": cores,
-        "timelimit_log": log1p_floor(limit),
-        "nhosts_log": log1p_floor(hosts),
-        "ncores_log": log1p_floor(cores),
-        "cores_per_host": ratio(cores, hosts),
-        "hosts_seen_ratio": ratio(seen, hosts),
-        "hosts_missing": hosts - seen,
-    }
+def resources(parts: list[str]) -> dict[str, str]:
+    seen = f"CAST({_edge('greatest', _over('hosts', parts))} AS DOUBLE)"
+    plain = {c: c for c in ("timelimit", "nhosts", "ncores")}
+    return plain | {f"{c}_log": _log(c) for c in plain} | {"cores_per_host": _ratio("ncores", "nhosts"), "hosts_seen_ratio": _ratio(seen, "nhosts"), "hosts_missing": f"nhosts - {seen}"}
 
 
-def queue_time() -> dict[str, Column]:
-    wait = at_least(F.col("start_epoch") - F.col("submit_epoch"), 0.0)
-    start, submit = F.timestamp_seconds("start_epoch"), F.timestamp_seconds("submit_epoch")
-    angle = 2 * math.pi * F.hour(start) / 24
+def queue_time() -> dict[str, str]:
+    waited = "start_epoch - submit_epoch"
+    wait = f"IF({waited} < 0, 0D, {waited})"
+    start, submit = "timestamp_seconds(start_epoch)", "timestamp_seconds(submit_epoch)"
     return {
         "queue_wait": wait,
-        "queue_wait_log": log1p_floor(wait),
-        "queue_wait_over_timelimit": ratio(wait, F.col("timelimit")),
-        "start_hour": F.hour(start),
-        "start_dow": F.weekday(start),
-        "start_weekend": F.coalesce(F.weekday(start) >= 5, F.lit(False)).cast("int"),
-        "start_day": F.dayofmonth(start),
-        "start_hour_sin": F.sin(angle),
-        "start_hour_cos": F.cos(angle),
-        "submit_hour": F.hour(submit),
-        "submit_dow": F.weekday(submit),
+        "queue_wait_log": f"ln(1 + {wait})",
+        "queue_wait_over_timelimit": _ratio(wait, "timelimit"),
+        "start_hour": f"hour({start})",
+        "start_dayofweek": f"weekday({start})",
+        "start_is_weekend": f"IF(weekday({start}) >= 5, 1, 0)",
+        "start_day": f"day({start})",
+        "start_hour_sin": f"sin(2 * pi() * hour({start}) / 24)",
+        "start_hour_cos": f"cos(2 * pi() * hour({start}) / 24)",
+        "submit_hour": f"hour({submit})",
+        "submit_dayofweek": f"weekday({submit})",
     }
 
 
-def host_list() -> dict[str, Column]:
-    n = host_count(F.col("host_list"))
-    return {"host_list_count": n, "host_list_ratio": ratio(n, F.col("nhosts"))}
-
-
-def metric(name: str, parts: list[str]) -> dict[str, Column]:
+def metric(name: str, parts: list[str]) -> dict[str, str]:
     """The sixteen features of one metric over the window."""
-    total = lambda stat, of: row_sum(*_over(f"{name}_{stat}", of)).cast("double")
-    cnt, all_ = total("cnt", parts), total("sum", parts)
-    mean = ratio(all_, cnt)
-    std = F.sqrt(at_least(ratio(total("sq", parts), cnt) - mean * mean, 0.0))
-    low, high = row_min(*_over(f"{name}_min", parts)), row_max(*_over(f"{name}_max", parts))
-    first = F.coalesce(*_over(f"{name}_first", parts))
-    last = F.coalesce(*_over(f"{name}_last", parts)[::-1])
-    head = ratio(total("sum", parts[:1]), total("cnt", parts[:1]))
-    tail = ratio(total("sum", parts[1:]), total("cnt", parts[1:])) if len(parts) > 1 else F.lit(None).cast("double")
-    rows = row_sum(*_over("rows", parts)).cast("double")
+    over = lambda stat, of: [f"{name}_{p}_{stat}" for p in of]
+    cnt, rows = _sum(over("cnt", parts)), _sum(_over("rows", parts))
+    mean = mean_of(name, parts)
+    spread = f"({_ratio(_sum(over('sq', parts)), cnt)} - {mean} * {mean})"
+    std = f"sqrt(IF({spread} < 0, 0D, {spread}))"
+    low, high = _edge("least", over("min", parts)), _edge("greatest", over("max", parts))
+    first, last = f"coalesce({', '.join(over('first', parts))})", f"coalesce({', '.join(over('last', parts)[::-1])})"
+    head = _ratio(_sum(over("sum", parts[:1])), _sum(over("cnt", parts[:1])))
+    tail = _ratio(_sum(over("sum", parts[1:])), _sum(over("cnt", parts[1:])))
     out = {
         "cnt": cnt,
         "mean": mean,
         "std": std,
-        "cv": std / (F.abs(mean) + TINY),
+        "cv": f"{std} / (abs({mean}) + {EPSILON})",
         "min": low,
         "max": high,
-        "range": high - low,
+        "range": f"{high} - {low}",
         "first": first,
         "last": last,
-        "delta": last - first,
-        "zero_frac": ratio(total("zero", parts), cnt),
-        "coverage": ratio(cnt, rows),
+        "delta": f"{last} - {first}",
+        "zero_frac": _ratio(_sum(over("zero", parts)), cnt),
+        "coverage": _ratio(cnt, rows),
         "head_mean": head,
         "tail_mean": tail,
-        "trend": tail - head,
-        "trend_ratio": tail / (F.abs(head) + TINY),
+        "trend": f"{tail} - {head}",
+        "trend_ratio": f"{tail} / (abs({head}) + {EPSILON})",
     }
     return {f"{name}_{k}": v for k, v in out.items()}
 
 
-def dispersion() -> dict[str, Column]:
+def mean_of(name: str, parts: list[str]) -> str:
+    """A metric's mean over the window."""
+    return _ratio(_sum([f"{name}_{p}_sum" for p in parts]), _sum([f"{name}_{p}_cnt" for p in parts]))
+
+
+def dispersion(parts: list[str]) -> dict[str, str]:
+    """Spread over hosts, also relative to the metric's mean in the window."""
     out = {}
     for m in DISPERSED:
-        std, low, high, n = (F.col(f"hostdisp_{m}_{s}") for s in ("std", "min", "max", "cnt"))
-        out |= {f"{m}_host_std": std, f"{m}_host_range": high - low, f"{m}_host_rel": std / (F.abs(high) + TINY), f"{m}_host_cnt": n}
+        spread = f"(hostdisp_{m}_max - hostdisp_{m}_min)"
+        out |= {f"hostdisp_{m}_std": f"hostdisp_{m}_std", f"hostdisp_{m}_range": spread, f"hostdisp_{m}_rel": f"{spread} / (abs({mean_of(m, parts)}) + {EPSILON})", f"hostdisp_{m}_cnt": f"hostdisp_{m}_cnt"}
     return out
 
 
-def cross() -> dict[str, Column]:
-    """Features that relate metrics; they read columns that ``metric`` has made."""
-    mem, bare, cpu = F.col("memused_mean"), F.col("memused_minus_diskcache_mean"), F.col("cpuuser_mean")
+def cross(parts: list[str]) -> dict[str, str]:
+    """Features that relate metrics to each other and to what was asked for."""
+    mean = {m: mean_of(m, parts) for m in METRICS}
+    per_host = _ratio("ncores", "nhosts")
     return {
-        "mem_per_core": ratio(mem, F.col("ncores")),
-        "mem_diskcache_gap": mem - bare,
-        "mem_diskcache_ratio": bare / (F.abs(mem) + TINY),
-        "cpu_per_core": ratio(cpu, F.col("ncores")),
-        "io_ratio": F.col("nfs_mean") / (F.abs(F.col("block_mean")) + TINY),
+        "mem_per_core": _ratio(mean["memused"], per_host),
+        "mem_diskcache_gap": f"{mean['memused']} - {mean['memused_minus_diskcache']}",
+        "mem_diskcache_ratio": _ratio(mean["memused_minus_diskcache"], mean["memused"]),
+        "cpu_per_core": _ratio(mean["cpuuser"], per_host),
+        "io_ratio": f"{mean['nfs']} / (abs({mean['block']}) + {EPSILON})",
     }
 
 
@@ -135,20 +148,35 @@ def month_of(start: Column) -> Column:
     return F.date_format(F.timestamp_seconds(start), "yyyy-MM")
 
 
-def matrix(acc: DataFrame, seconds: float = 1800.0) -> DataFrame:
-    """The feature matrix: one row per job, numeric features null where undefined, then descriptions and the target."""
+def _clean(value: str, name: str) -> str:
+    """``value`` as a double named ``name``, null where it is no finite number."""
+    x = f"CAST({value} AS DOUBLE)"
+    return f"IF(abs({x}) < double('infinity'), {x}, NULL) AS {name}"
+
+
+def numeric(seconds: float) -> list[str]:
+    """The numeric features of a window as SQL over accumulators."""
     parts = window_parts(seconds)
-    made: dict[str, Column] = observation(parts, seconds) | resources(parts) | queue_time() | host_list() | dispersion()
+    made = observation(parts, seconds) | resources(parts) | queue_time() | dispersion(parts) | cross(parts)
     for m in METRICS:
         made |= metric(m, parts)
+    return [_clean(v, k) for k, v in made.items()]
+
+
+def matrix(acc: DataFrame, seconds: float = 1800.0) -> DataFrame:
+    """The feature matrix: one row per job, numeric features null where undefined, then descriptions and the target."""
+    listed = host_count(F.col("host_list"))
+    lists = [listed.alias("host_list_count"), (listed / F.nullif(F.col("nhosts"), F.lit(0.0))).alias("host_list_ratio")]
     text = [F.col(c) for c in CATEGORIES] + [timelimit_bucket(F.col("timelimit")).alias("timelimit_bucket")]
-    meta = [F.col(c) for c in ("cluster", "month") if c in acc.columns] + [F.col("start_epoch"), is_positive(F.col("exitcode"), POSITIVE).alias("target")]
-    base = acc.select("jid", *text, *meta, *[_clean(v).alias(k) for k, v in made.items()])
-    return base.select("*", *[_clean(v).alias(k) for k, v in cross().items()])
+    month = F.col("month") if "month" in acc.columns else month_of(F.col("start_epoch")).alias("month")
+    meta = [F.col("cluster")] * ("cluster" in acc.columns) + [month, F.col("start_epoch"), is_positive(F.col("exitcode"), POSITIVE).alias("target")]
+    return acc.select("jid", *text, *meta, *lists, *map(F.expr, numeric(seconds)))
 
 
-def _clean(value: Column) -> Column:
-    return finite(value.cast("double"))
+def numeric_features(rows: DataFrame) -> list[str]:
+    """The columns that may serve as features: all but the job's id, month, start, target, cluster and categories."""
+    other = {"row_id", "jid", "cluster", "start_epoch", "month", "target", "timelimit_bucket", *CATEGORIES}
+    return [c for c in rows.columns if c not in other]
 
 
 def constant_columns(rows: DataFrame, columns: list[str]) -> DataFrame:

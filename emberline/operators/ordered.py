@@ -1,4 +1,8 @@
-"""Running totals over an order, without bringing a group's rows into one task."""
+"""Places and running totals over an order, without bringing a group's rows into one task.
+
+Rows are dealt to tasks by ranges of the order, once, and kept; each task numbers or sums its own,
+and the totals of the tasks before it, one small row for each task and group, are added.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +10,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from emberline.scratch import materialise
 
+SMALL = 200_000  # rows of per-task totals that may be broadcast
 
-def by_quantile(rows: DataFrame, group: str, by: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``__bucket``: how many of its group's approximate quantiles lie below ``by``; it rises with ``by``, nulls have 0.
 
-    Equal values share a bucket, so a value that most rows hold makes a large one.
-    """
-    points = [k / buckets for k in range(1, buckets)]
-    splits = rows.groupBy(F.col(group).alias("__group")).agg(F.percentile_approx(by, points, 10_000).alias("__splits"))
-    joined = rows.join(splits, F.col(group).eqNullSafe(F.col("__group")), "left")
-    below = F.coalesce(F.size(F.filter(F.array_distinct("__splits"), lambda s: s < F.col(by))), F.lit(0))
-    return joined.withColumn("__bucket", below).drop("__group", "__splits")
+def _ranged(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` dealt by ranges of group and order, and sorted so within each task, with their ``__id``."""
+    keys = [*[F.col(g).asc_nulls_first() for g in group], *order]
+    return materialise(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "ranged")
+
+
+def _before(totals: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """Per task and group what the group's rows in the tasks before add up to, and in all (``__all_``)."""
+    earlier = W.partitionBy(*group).orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    of_group = W.partitionBy(*group)
+    sums = {f"__before_{n}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names}
+    return materialise(totals.withColumns(sums | {f"__all_{n}": F.sum(n).over(of_group) for n in names}), "totals")
 
 
-def running(rows: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], falling: bool = False) -> DataFrame:
-    """Adds each of ``values`` summed over the group's rows up to and with the own one, by ``__bucket`` and then ``order``.
+def _joined(rows: DataFrame, offsets: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with their task's and group's offsets; these are broadcast if they are found to be few."""
+    own = offsets.select(*[F.col(c).alias(f"__o_{c}") if c in ("__task", *group) else F.col(c) for c in offsets.columns])
+    same = F.col("__task") == F.col("__o___task")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
+    few = offsets.count() <= SMALL
+    return rows.join(F.broadcast(own) if few else own, same).drop("__o___task", *[f"__o_{g}" for g in group])
 
-    Buckets are totalled first; a row adds its bucket's offset to the sum within its bucket,
-    so a task holds a bucket and not a group. ``__bucket`` must rise (or fall) with ``order``.
+
+def placed(rows: DataFrame, group: list[str], order: list[Column], place: str, size: str | None = None) -> DataFrame:
+    """Adds each row's ``place`` from 0 in its group, by ``order``, and the group's ``size``.
+
+    ``order`` must end in a key, or which of equal rows comes first is left open. A value that most rows share
+    is split among tasks by the keys after it.
     """
-    sums = [F.sum(v).alias(f"__{n}") for n, v in values.items()]
-    totals = rows.groupBy(*group, "__bucket").agg(*sums)
-    bucket = F.col("__bucket").desc() if falling else F.col("__bucket").asc()
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__bucket").alias("__at"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in values])
-    same = F.col("__bucket") == F.col("__at")
-    for k, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
-    inside = W.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    joined = rows.join(offsets, same)
-    out = joined.withColumns({n: F.col(f"__{n}") + F.sum(v).over(inside) for n, v in values.items()})
-    return out.drop("__bucket", "__at", *[f"__{n}" for n in values], *[f"__g{k}" for k in range(len(group))])
+    task, first = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    ranged = _ranged(rows, group, order).withColumns({"__task": task, "__place": first})
+    totals = ranged.groupBy("__task", *group).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    joined = _joined(ranged, _before(totals, group, ["__n"]), group)
+    out = joined.withColumn(place, F.col("__before___n") + F.col("__place") - F.col("__first"))
+    out = out.withColumn(size, F.col("__all___n")) if size else out
+    return out.drop("__id", "__task", "__place", "__first", "__n", "__before___n", "__all___n")
+
+
+def running(rows: DataFrame, group: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds each of ``values`` summed over the group's rows up to and with the own one, by ``order``."""
+    ranged = _ranged(rows, group, order).withColumn("__task", F.shiftright("__id", 33))
+    totals = ranged.groupBy("__task", *group).agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    offsets = _before(totals, group, list(values)).drop(*values, *[f"__all_{n}" for n in values])
+    inside = W.partitionBy("__task", *group).orderBy("__id").rowsBetween(W.unboundedPreceding, 0)
+    joined = _joined(ranged, offsets, group)
+    out = joined.withColumns({n: F.col(f"__before_{n}") + F.sum(v).over(inside) for n, v in values.items()})
+    return out.drop("__id", "__task", *[f"__before_{n}" for n in values])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import by_quantile, running
+from emberline.operators.ordered import placed, running
 from emberline.schema import PREDICTOR_MARGIN
+from emberline.scratch import materialise
 
 
 def recency_cap(rows: DataFrame, most: int) -> DataFrame:
@@ -35,44 +36,36 @@ def out_of_time_split(rows: DataFrame, holdout: int = 3) -> DataFrame:
     return rows.filter("month IS NOT NULL AND target IS NOT NULL").withColumn("is_holdout", F.col("month") >= last[holdout - 1])
 
 
-def _position(rows: DataFrame, by: str, group: str, tie: str, name: str) -> DataFrame:
-    """Adds the row's place in its group, from 0, by ``by`` and then ``tie``."""
-    placed = running(by_quantile(rows, group, by), [group], [F.col(by), F.col(tie)], {name: F.lit(1)})
-    return placed.withColumn(name, F.col(name) - 1)
-
-
-def _sized(rows: DataFrame, group: str) -> DataFrame:
-    """Adds ``__n``, the group's rows."""
-    sizes = rows.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("__n"))
-    return rows.join(sizes, F.col(group).eqNullSafe(F.col("__of"))).drop("__of")
-
-
 def rank_ordinal(rows: DataFrame, score: str, group: str = "cluster", tie: str = "jid") -> DataFrame:
     """Adds ``rank`` from 0 to 1 within ``group``, ties by ``tie``; a group of one has rank 0."""
-    placed = _sized(_position(rows, score, group, tie, "__at_"), group)
-    return placed.withColumn("rank", F.col("__at_") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__at_", "__n")
+    ranked = placed(rows, [group], [F.col(score).asc(), F.col(tie).asc()], "__at_", "__size")
+    return ranked.withColumn("rank", F.col("__at_") / F.greatest(F.col("__size") - 1, F.lit(1))).drop("__at_", "__size")
 
 
 def rank_blend(rows: DataFrame, scores: list[str], group: str = "cluster", tie: str = "jid") -> DataFrame:
-    """(group, tie, blend): mean ordinal rank over models, mapped on the sorted mean scores by linear interpolation."""
+    """(group, tie, blend): mean ordinal rank over models, mapped on the sorted mean scores by linear interpolation.
+
+    Each score is ranked in one pass over what the pass before kept, so the work grows with the number of models.
+    """
     mean = sum((F.col(s) for s in scores), F.lit(0.0)) / len(scores)
-    ranked = _sized(rows.select(group, tie, *scores, mean.alias("mean")), group)
+    ranked = rows.select(group, tie, *scores, mean.alias("mean"))
     for k, s in enumerate(scores):
-        ranked = _position(ranked, s, group, tie, f"__p{k}")
-    share = sum((F.col(f"__p{k}") / F.greatest(F.col("__n") - 1, F.lit(1)) for k in range(len(scores))), F.lit(0.0)) / len(scores)
-    ranked = ranked.select(group, tie, "mean", (share * (F.col("__n") - 1)).alias("at"))
-    sorted_means = _position(ranked.select(group, tie, "mean"), "mean", group, tie, "k")
-    low = sorted_means.select(F.col(group).alias("g0"), F.col("k").alias("k0"), F.col("mean").alias("m0"))
-    high = sorted_means.select(F.col(group).alias("g1"), F.col("k").alias("k1"), F.col("mean").alias("m1"))
-    at = F.round("at", 9)
-    joined = ranked.join(low, (F.col(group) == F.col("g0")) & (F.floor(at) == F.col("k0"))).join(high, (F.col(group) == F.col("g1")) & (F.ceil(at) == F.col("k1")))
-    return joined.select(group, tie, (F.col("m0") + (F.col("m1") - F.col("m0")) * (at - F.floor(at))).alias("blend"))
+        ranked = placed(ranked, [group], [F.col(s).asc(), F.col(tie).asc()], f"__p{k}")
+    share = sum((F.col(f"__p{k}") for k in range(len(scores))), F.lit(0)) / len(scores)
+    ranked = placed(ranked.select(group, tie, "mean", F.round(share, 9).alias("at")), [group], [F.col("mean").asc(), F.col(tie).asc()], "k")
+    ranked = materialise(ranked, "ranked")
+    either = F.array(F.struct(F.col("k").alias("at0"), F.col("mean").alias("m0"), F.lit(None).cast("double").alias("m1")), F.struct((F.col("k") - 1).alias("at0"), F.lit(None).cast("double").alias("m0"), F.col("mean").alias("m1")))
+    steps = ranked.select(F.col(group).alias("g0"), F.inline(either)).groupBy("g0", "at0").agg(F.max("m0").alias("m0"), F.max("m1").alias("m1"))
+    asked = ranked.select(group, tie, "at", F.floor("at").alias("__low"))
+    joined = asked.join(steps, F.col(group).eqNullSafe(F.col("g0")) & (F.col("__low") == F.col("at0")))
+    beyond = F.col("at") - F.col("__low")
+    return joined.select(group, tie, F.when(beyond > 0, F.col("m0") + (F.col("m1") - F.col("m0")) * beyond).otherwise(F.col("m0")).alias("blend"))
 
 
 def average_precision(rows: DataFrame, score: str = "score", target: str = "target", group: str = "cluster") -> DataFrame:
     """(group, ap): the step-wise area under precision and recall; rows with equal scores are one step. No positives: null."""
     steps = rows.groupBy(group, score).agg(F.sum(target).alias("tp"), F.count("*").alias("n"))
-    run = running(by_quantile(steps, group, score), [group], [F.col(score).desc()], {"ctp": F.col("tp"), "cn": F.col("n")}, falling=True)
+    run = running(steps, [group], [F.col(score).desc()], {"ctp": F.col("tp"), "cn": F.col("n")})
     return run.groupBy(group).agg((F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))).alias("ap"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,14 @@ from emberline.operators import lifespan as L
 from emberline.operators import models
 from emberline.operators import selection as S
 from emberline.oracles import ORACLE_SQL
-from emberline.schema import METRICS, POSITIVE
-from emberline.sources.telemetry import cluster_of, telemetry_from_orders
+from emberline.schema import CATEGORIES, DISPERSED, METRICS, PARTS, POSITIVE
+from emberline.scratch import materialise, new_path
+from emberline.sources.telemetry import cluster_of, read_raw, rename_parts, split_row_id, telemetry_from_orders
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-TRAIN_BEFORE, SCORED_FROM = "1995-04", "2001-01"
+CUT = "1998-01"  # jobs that started before it are learned from, the others scored
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,7 +36,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to ``places`` decimals, so that the order of a sum does not show."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}`, {places}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def tel(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +44,7 @@ def tel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window(spark: SparkSession, d: str) -> DataFrame:
-    return A.window_rows(tel(spark, d))
+    return A.window_rows(tel(spark, d), all_started=True)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +58,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     rows = window(spark, d)
     wide = A.widen(A.part_stats(rows, metrics=("cpuuser",)).join(A.part_shape(rows), ["jid", "part"]))
     made = X.metric("cpuuser", X.window_parts(1800.0))
-    return rounded(wide.select("jid", *[X._clean(made[f"cpuuser_{s}"]).alias(f"cpuuser_{s}") for s in ("cnt", "mean", "std", "trend")]))
+    return rounded(wide.selectExpr("jid", *[X._clean(made[f"cpuuser_{s}"], f"cpuuser_{s}") for s in ("cnt", "mean", "std", "trend")]))
 
 
 # -- readings ------------------------------------------------------------------------------
@@ -65,7 +67,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prepare_telemetry(spark, d):
     rows = tel(spark, d).withColumn("cpuuser", number(F.col("cpuuser").cast("string")))
-    return rounded(rows.filter("jid IS NOT NULL AND time_epoch IS NOT NULL").select("cluster", "jid", "host", "time_epoch", "start_epoch", "submit_epoch", "timelimit", "nhosts", "ncores", "account", "queue", "unit", "jobname", "username", "host_list", "exitcode", *METRICS, "month", "line", "part_key"))
+    return rounded(rows.filter("jid IS NOT NULL AND time_epoch IS NOT NULL").select("cluster", "jid", "host", "time_epoch", "start_epoch", "submit_epoch", "timelimit", "nhosts", "ncores", "account", "queue", "unit", "jobname", "username", "host_list", "exitcode", *METRICS, "month", "line", "part_key"), 9)
 
 
 @query
@@ -82,7 +84,7 @@ def month_prune(spark, d):
 
 @query
 def hour_enumerate(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'")
+    events = spark.read.parquet(f"{d}/events.parquet")
     return A.window_hours(events, "ts").select(F.date_format("hour", "yyyy-MM-dd-HH").alias("hour"), "n_windows")
 
 
@@ -117,12 +119,12 @@ def anchor_missing_start(spark, d):
 
 @query
 def early_window(spark, d):
-    return A.early_window(A.with_start_anchor(tel(spark, d))).select("jid", "host", "line", "part_key", "elapsed")
+    return A.early_window(A.with_anchor(tel(spark, d), all_started=True)).select("jid", "host", "line", "part_key", "elapsed")
 
 
 @query
 def bucket_assign(spark, d):
-    rows = A.with_start_anchor(tel(spark, d)).withColumn("elapsed", F.col("time_epoch") - F.col("anchor"))
+    rows = A.with_anchor(tel(spark, d), all_started=True).withColumn("elapsed", F.col("time_epoch") - F.col("anchor"))
     return rows.groupBy(A.bucket(F.col("elapsed")).alias("part")).agg(F.count("*").alias("n"), F.min("elapsed").alias("tmin"), F.max("elapsed").alias("tmax"))
 
 
@@ -132,7 +134,7 @@ def bucket_assign(spark, d):
 @query
 def acc_sum_stats(spark, d):
     stats = A.part_stats(window(spark, d), ("cnt", "sum", "sq", "zero"))
-    return rounded(stats.withColumns({f"{m}_sq": F.round(f"{m}_sq") for m in METRICS}))
+    return rounded(stats)
 
 
 @query
@@ -165,13 +167,47 @@ def merge_partials(spark, d):
     rows = window(spark, d)
     halves = [A.part_stats(h).join(A.part_shape(h).drop("hosts"), ["jid", "part"]) for h in (rows.filter("elapsed < 100"), rows.filter("elapsed >= 100"))]
     merged = A.merge_parts(*halves)
-    return rounded(merged.select("jid", "part", "rows", "tmin", "tmax", *[f"cpuuser_{s}" for s in ("cnt", "sum", "zero", "min", "max")], "block_zero"), 4)
+    return rounded(merged, 4)
 
 
 @query
 def job_accumulators(spark, d):
     acc = A.accumulators(window(spark, d))
-    return rounded(acc.select("jid", "cluster", "unit", "jobname", *[f"{c}_{p}" for p in ("p0", "p1", "p2") for c in ("rows", "hosts", "tmin", "tmax", "memused_cnt", "memused_sum", "memused_first", "memused_last")], "hostdisp_cpuuser_std", "hostdisp_cpuuser_cnt", "n_hosts_seen"), 4)
+    return rounded(acc.withColumns({f"hostdisp_{m}_std": F.round(f"hostdisp_{m}_std", 4) for m in DISPERSED}), 9)
+
+
+def raw_files(spark, d):
+    """Hourly raw files made of the order lines, and their place: one release for each of three clusters.
+
+    The files differ in the type of a column, some readings have no start, and some are there twice, once less complete.
+    """
+    rows = tel(spark, d).withColumn("key", F.substring("jid", 4, 20).cast("long"))
+    at = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss")
+    raw = rows.select(
+        at("time_epoch").alias("time"), at("submit_epoch").alias("submit_time"), F.when(F.col("key") % 7 != 0, at("start_epoch")).alias("start_time"),
+        "jid", "host", F.col("timelimit").cast("string").alias("timelimit"), "nhosts", "ncores", "account", "queue", "unit", "jobname", "username", "host_list",
+        *[F.col(m).alias(f"value_{m}") for m in METRICS], "exitcode", "line", "part_key", "key",
+    )
+    release = F.col("key") % 3
+    poorer = raw.withColumns({f"value_{m}": F.lit(None).cast("double") for m in METRICS[1:]})
+    path = new_path(spark, "raw")
+    for k, suffix in enumerate(("_S", "_C", "")):
+        mine = raw.filter(release == k)
+        mine = mine.unionByName(poorer.filter((release == k) & (F.col("line") % 2 == 0)))
+        mine = mine.withColumn("value_nfs", F.col("value_nfs").cast("string")) if k == 1 else mine.drop("value_gpu") if k == 2 else mine
+        target = f"{path}/{k}"
+        kept = mine.repartition(4, "jid").sortWithinPartitions("jid", "host", "time", "line", "part_key")
+        kept.drop("key", "line", "part_key").write.parquet(target)
+        rename_parts(spark, target, lambda n, k=k, suffix=suffix: f"1970-01-01-{2 + (k == 1) + n:02d}{suffix}.parquet")
+    return path
+
+
+@query
+def raw_file_accumulators(spark, d):
+    """Accumulators of the readings in raw files, with what anchors, clamping and tolerant reading make of them."""
+    acc = A.accumulators(A.window_rows(read_raw(spark, raw_files(spark, d))))
+    names = [c for m in ("cpuuser", "nfs", "gpu") for p in PARTS for c in (f"{m}_{p}_cnt", f"{m}_{p}_sum", f"{m}_{p}_min", f"{m}_{p}_max")]
+    return rounded(acc.select("jid", "cluster", "timelimit", "exitcode", *[f"{c}_{p}" for p in PARTS for c in ("rows", "hosts", "tmin", "tmax")], *names), 9)
 
 
 # -- coverage ------------------------------------------------------------------------------
@@ -244,22 +280,22 @@ def feat_queue_time(spark, d):
 
 @query
 def feat_metric(spark, d):
-    return columns_of(spark, d, tuple(f"{m}_{s}" for m in ("cpuuser", "block") for s in ("cnt", "mean", "std", "cv", "min", "max", "range", "first", "last", "delta", "zero_frac", "coverage")), 5)
+    return columns_of(spark, d, tuple(f"{m}_{s}" for m in METRICS for s in ("cnt", "mean", "std", "cv", "min", "max", "range", "first", "last", "delta", "zero_frac", "coverage")), 9)
 
 
 @query
 def feat_trend(spark, d):
-    return columns_of(spark, d, tuple(f"{m}_{s}" for m in ("cpuuser", "memused") for s in ("head_mean", "tail_mean", "trend", "trend_ratio")), 5)
+    return columns_of(spark, d, tuple(f"{m}_{s}" for m in METRICS for s in ("head_mean", "tail_mean", "trend", "trend_ratio")), 9)
 
 
 @query
 def feat_dispersion(spark, d):
-    return columns_of(spark, d, tuple(f"{m}_host_{s}" for m in ("cpuuser", "memused") for s in ("std", "range", "rel", "cnt")), 4)
+    return columns_of(spark, d, tuple(f"hostdisp_{m}_{s}" for m in DISPERSED for s in ("std", "range", "rel", "cnt")), 4)
 
 
 @query
 def feat_cross(spark, d):
-    return columns_of(spark, d, ("mem_per_core", "mem_diskcache_gap", "mem_diskcache_ratio", "cpu_per_core", "io_ratio"))
+    return columns_of(spark, d, ("mem_per_core", "mem_diskcache_gap", "mem_diskcache_ratio", "cpu_per_core", "io_ratio"), 9)
 
 
 @query
@@ -304,7 +340,7 @@ def te_expanding(spark, d):
 @query
 def te_transform(spark, d):
     rows = labelled(spark, d)
-    return rounded(E.te_transform(rows.filter(F.col("month") >= SCORED_FROM), rows.filter(F.col("month") < TRAIN_BEFORE)))
+    return rounded(E.te_transform(rows.filter(F.col("month") >= CUT), rows.filter(F.col("month") < CUT)))
 
 
 @query
@@ -321,9 +357,7 @@ def composite_keys(spark, d):
 @query
 def encoded_matrix(spark, d):
     rows = labelled(spark, d)
-    wide = E.wide(E.te_expanding(rows)).select("jid", "te_username", "tc_username", "te_queue__timelimit_bucket")
-    coded = E.with_codes(rows, E.label_codes(rows)).select("jid", "cat_account", "cat_queue", "cat_username")
-    return rounded(wide.join(coded, "jid"))
+    return rounded(E.with_codes(rows, E.label_codes(rows)).select("jid", *[f"cat_{c}" for c in CATEGORIES]).join(E.wide(E.te_expanding(rows)), "jid"))
 
 
 # -- drift ---------------------------------------------------------------------------------
@@ -332,7 +366,7 @@ def encoded_matrix(spark, d):
 @query
 def unseen_rates(spark, d):
     rows = labelled(spark, d)
-    return rounded(D.unseen_rates(rows.filter(F.col("month") < TRAIN_BEFORE), rows.filter(F.col("month") >= SCORED_FROM)))
+    return rounded(D.unseen_rates(rows.filter(F.col("month") < CUT), rows.filter(F.col("month") >= CUT)))
 
 
 @query
@@ -356,7 +390,7 @@ def blank_identities(spark, d):
 @query
 def range_guard(spark, d):
     m = matrix_of(spark, d)
-    return rounded(X.range_guard(m.filter(F.col("month") < TRAIN_BEFORE), m.filter(F.col("month") >= SCORED_FROM), ["start_epoch", "timelimit", "cpuuser_mean", "obs_rows", "gpu_mean"]))
+    return rounded(X.range_guard(m.filter(F.col("month") < CUT), m.filter(F.col("month") >= CUT), ["start_epoch", "timelimit", "cpuuser_mean", "obs_rows", "gpu_mean"]))
 
 
 @query
@@ -383,7 +417,7 @@ def lifespan_merge(spark, d):
 def lifespan_features(spark, d):
     rows = tel(spark, d)
     jobs = rows.select("jid", "cluster").distinct()
-    return rounded(L.lifespan_features(jobs, L.lifespan_agg(rows).withColumn("chunk_end", F.lit(11500.0))))
+    return rounded(L.lifespan_features(jobs, L.lifespan_agg(rows).withColumn("chunk_end_epoch", F.lit(11500.0))))
 
 
 # -- selection and scoring -----------------------------------------------------------------
@@ -462,20 +496,29 @@ def contract_checks(spark, d):
     return S.contract_checks(_answers(spark, d))
 
 
+@query
+def row_ids(spark, d):
+    """Row ids split into cluster and job, and those of no known cluster counted."""
+    names = scored(spark, d).select(F.concat(F.element_at(F.array(F.lit("S"), F.lit("C"), F.lit("Anvil"), F.lit("X")), (F.substring("jid", 4, 20).cast("long") % 4 + 1).cast("int")), F.lit("_"), "jid").alias("row_id"))
+    of, jid = split_row_id(F.col("row_id"))
+    return names.select(of.alias("cluster"), jid.alias("jid")).groupBy("cluster").agg(F.count("*").alias("n"), F.min("jid").alias("first"), F.count_distinct("jid").alias("jobs"))
+
+
 @query
 def gbt_fit_predict(spark, d):
     """Trees fitted on the early months of each cluster's jobs and scored on its late ones."""
-    rows = matrix_of(spark, d)
     features = ["obs_rows", "timelimit", "cpuuser_mean", "cpuuser_std", "memused_mean", "queue_wait", "gpu_mean"]
+    rows = materialise(matrix_of(spark, d).select("jid", "cluster", "month", "target", *features), "matrix")
 
     def of_cluster(cluster: str) -> DataFrame:
         m = rows.filter(F.col("cluster") == cluster)
         train, fills = models.design(m.filter(F.col("month") < "1999-01"), features)
         late, _ = models.design(m.filter(F.col("month") >= "1999-01"), features, fills)
-        return models.score(models.fit(train.select("features", "target"), 2.0), late).select("jid", "target", "score")
+        return models.score(models.fit(materialise(train.select("features", "target"), "train"), 2.0), late).select("jid", "target", "score")
 
     clusters = sorted(r.cluster for r in rows.filter("cluster IS NOT NULL").select("cluster").distinct().collect())
-    return reduce(DataFrame.unionByName, [of_cluster(c) for c in clusters])
+    with ThreadPoolExecutor(max(1, len(clusters))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(of_cluster, clusters))
 
 
 @query

@@ -1,6 +1,7 @@
 """Columns and constants of the telemetry model."""
 
-# The telemetry layout, windows and outcome names that results depend on.
+# The telemetry layout, windows, outcome names and limits that results depend on. The names of
+# stored columns (``<metric>_<part>_<stat>``, ``hostdisp_*``, ``life_*``, ``start_dayofweek`` ...) are fixed too.
 METRICS = ("cpuuser", "gpu", "memused", "memused_minus_diskcache", "nfs", "block")
 NUMERIC = ("timelimit", "nhosts", "ncores")
 STRINGS = ("account", "queue", "unit", "jobname", "username", "host_list")
@@ -25,5 +26,8 @@ MISSING = "__missing__"
 SMOOTHING, LEAST_FREQUENCY, TINY = 25.0, 5, 1e-6
 RANGE_SHARE, PREDICTOR_MARGIN = 0.20, 0.01
 EDGE_SECONDS = 3600.0
-SECONDS_UNIT_CLUSTERS = ("Anvil",)
+CLUSTERS = ("S", "C", "Anvil")
+MINUTES_UNIT_CLUSTERS = ("S", "C")
+TRAINING_FROM = {"S": "2016-01", "C": "2015-10", "Anvil": "2022-07"}
+MOST_ROWS, MOST_HOLDOUT_ROWS = 420_000, 120_000
 ORDER = ("elapsed", "host", "line", "part_key")  # total order of a job's readings
