@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        last, edges = edges, materialise(_small_star(_large_star(edges)), "links")
+        discard(last)
         state, before = _state(edges), state
         if state == before:
             break

@@ -1,47 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset and the master is
-local (tests), a temporary folder is made; on any other master it is an error, since a
-machine-local folder would not be seen by the executors.
-"""
+"""What the operators share with the session: scratch tables, Arrow batch limits, free column names."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="emberline-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return f"file://{_own['dir']}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from emberline.scratch import discard, materialise, new_path, remove, shared_dir
 
+__all__ = ["bound_batches", "discard", "materialise", "new_path", "remove", "shared_dir", "unused"]
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns it read back, so its lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
 def _reach(spark: SparkSession) -> None:
@@ -52,21 +22,24 @@ def _reach(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def _bytes(size: str) -> int:
+    """A size such as ``8m`` in bytes; none and negative ones are no limit."""
+    found = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", size.strip().lower())
+    n = int(found[1]) * UNITS[found[2]] if found else -1
+    return n if n > 0 else 1 << 62
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Limits what one Arrow batch holds, unless the session already sets tighter limits.
 
-    Batches are cut by rows *and* by bytes, so a run of very long texts stays bounded.
+    Batches are cut by rows *and* by bytes, so a run of very long texts stays bounded. Both are settings of the
+    session, read when a query is planned, so they stay as the tightest that any operator asked for.
     """
     _reach(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path on whatever file system it is."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > _bytes(size):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .scratch import bound_batches, materialise, unused
+from .scratch import bound_batches, discard, materialise, unused
 from .text import Words, combined, cuts, windows, xxh64
 
 ONES = np.uint64(0x0101010101010101)
@@ -61,18 +63,19 @@ def word_fingerprints(words: Words, shingle: int, seed: int = 42) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp long): one row per row of ``docs``, ids null or repeated as they come."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tag: bool = False) -> DataFrame:
+    """(id, fp long): one row per row of ``docs``, ids null or repeated as they come; ``tag`` adds ``node`` (see ``word_nodes``)."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in cuts(batch, "text"):
-                fps = text_fingerprints(cut.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(fps)], ["id", "fp"])
+                words = Words(cut.column(1))
+                found = [cut.column(0), pa.array(word_fingerprints(words, shingle))]
+                yield pa.RecordBatch.from_arrays(found + [pa.array(word_nodes(words))] * tag, ["id", "fp"] + ["node"] * tag)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint" + ", node bigint" * tag)
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -118,33 +121,38 @@ def links(fps: DataFrame, bits: int = 2, blocks: int = 4, bucket: int = 32) -> D
     return pairs.union(stars.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, blocks: int = 4, bucket: int = 32) -> DataFrame:
-    """One row per row of ``docs``: its id, ``fp`` and ``component_id``, the smallest id reachable over links.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, blocks: int = 4, bucket: int = 32, tag: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its id, ``fp`` and ``component_id``, the smallest id reachable over links; ``tag`` adds ``node``.
 
     Texts with equal fingerprints are linked, so all empty and null texts (fingerprint zero) are
     one group. A null id is never a component's smallest; a component of null ids only has a null
     ``component_id``. Rows that repeat stay repeated; an empty table gives no rows.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle, tag), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), bits, blocks, bucket)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = connected_components(links(nodes.select("fp"), bits, blocks, bucket)).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, F.col("fp") == F.col("of"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", *["node"] * tag)
 
 
-def word_digests(words: Words) -> list[bytes]:
-    """128 bits of each text's lower-cased words, joined by single spaces."""
+def word_nodes(words: Words) -> np.ndarray:
+    """64 bits of each text's lower-cased words, joined by single spaces, as int64: texts of the same words share them."""
     buf, starts, ends = words.spaced()
     edges = words.edges.tolist()
-    return [xxhash.xxh3_128_digest(buf[starts[a] : ends[b - 1]].tobytes() if a < b else b"") for a, b in zip(edges, edges[1:], strict=False)]
+    found = [xxhash.xxh3_64_intdigest(buf[starts[a] : ends[b - 1]].tobytes() if a < b else b"") for a, b in zip(edges, edges[1:], strict=False)]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the distinct runs of ``width`` words of each text, by text and then hash."""
     first, owner = windows(words.edges, width)
     values = combined(words.hashes(), width)[first] if first.size else np.zeros(0, np.uint64)
+    return _distinct(values, owner)
+
+
+def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     fresh = np.ones(values.size, bool)
@@ -152,19 +160,23 @@ def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values[fresh], owner[fresh]
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(values.view(np.int64)))
+SKETCH, TRUSTED = 128, 200  # bytes of a sketch; shingles from which on it is relied on
 
 
-def shingle_sets(words: Words, width: int) -> pa.ListArray:
-    """The distinct hashes of each text's runs of ``width`` words, in order; none for a shorter text."""
-    values, owner = _shingles(words, width)
-    return _lists(values, np.bincount(owner, minlength=words.per_text.size))
+def sketches(values: np.ndarray, owner: np.ndarray, texts: int) -> list[bytes]:
+    """Of each text's shingles one byte for each of ``SKETCH`` classes: of the smallest in the class, 0 for none."""
+    out = np.zeros((texts, SKETCH), np.uint8)
+    cls = (values % np.uint64(SKETCH)).astype(np.int64)
+    rest = values // np.uint64(SKETCH)
+    order = np.lexsort((rest, cls, owner))
+    cell = owner[order] * SKETCH + cls[order]
+    lead = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if cell.size else np.zeros(0, np.int64)
+    out.reshape(-1)[cell[lead]] = (rest[order][lead] % np.uint64(255)).astype(np.uint8) + 1
+    return [row.tobytes() for row in out]
 
 
-def rare_prefixes(words: Words, width: int, share: float, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """(number of distinct shingles, the first of them) of each text, rare ones first.
+def _lead(words: Words, width: int, share: float, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place, size): of each text's distinct shingles the first few, rare ones first, and how many it has.
 
     Shingles are ordered by how often they were ``seen`` (0 unless in the sorted ``common``), then
     by hash. Of two sets whose Jaccard similarity is ``share`` or more, the first
@@ -179,10 +191,11 @@ def rare_prefixes(words: Words, width: int, share: float, common: np.ndarray, se
     order = np.lexsort((values, rank, owner))
     place = np.arange(values.size) - np.repeat(np.cumsum(counts) - counts, counts)
     most = np.where(counts > 0, counts - np.ceil(share * counts - 1e-9).astype(np.int64) + 1, 0)
-    return counts, _lists(values[order][place < np.repeat(most, counts)], most)
+    kept = place < np.repeat(most, counts)
+    return values[order][kept], owner[kept], place[kept], counts
 
 
-def _common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int = 5000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count) of the shingles seen most often in about ``rows`` texts, by hash.
 
     They only order the shingles of a text, so the sample decides how much work there is and not what is found.
@@ -203,8 +216,8 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, ro
     return keys[order], found.column("n").to_numpy().astype(np.int64)[order]
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, digest, fp) of every row."""
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int) -> DataFrame:
+    """(id, node, fp, size, sketch) of every row: its words, fingerprint, number of shingles and their sketch."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -212,73 +225,97 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
         for batch in batches:
             for cut in cuts(batch, "text"):
                 words = Words(cut.column(1))
-                found = [cut.column(0), pa.array(word_digests(words), pa.binary()), pa.array(word_fingerprints(words, shingle))]
-                yield pa.RecordBatch.from_arrays(found, ["id", "digest", "fp"])
+                values, owner = _shingles(words, width)
+                sizes = np.bincount(owner, minlength=cut.num_rows)
+                found = [cut.column(0), pa.array(word_nodes(words)), pa.array(word_fingerprints(words, shingle)), pa.array(sizes, pa.int64()), pa.array(sketches(values, owner, cut.num_rows), pa.binary())]
+                yield pa.RecordBatch.from_arrays(found, ["id", "node", "fp", "size", "sketch"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node bigint, fp bigint, size bigint, sketch binary")
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, fp bigint")
 
+def _sharing(docs: DataFrame, id_col: str, text_col: str, width: int, share: float) -> DataFrame:
+    """(key, node, size, pos, n, head) of the leading shingles that several texts have: ``head`` is the text with fewest.
 
-def _described_whole(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, share: float) -> DataFrame:
-    """(id, digest, fp, size, prefix) of every row: the last two are those of ``rare_prefixes``."""
+    Any two texts of the similarity share a key. A text of the same words as one before it in a task is not
+    looked at again. Rows are dealt by key once.
+    """
     common, seen = _common_shingles(docs, id_col, text_col, width)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for cut in cuts(batch, "text"):
-                words = Words(cut.column(1))
-                sizes, prefixes = rare_prefixes(words, width, share, common, seen)
-                found = [cut.column(0), pa.array(word_digests(words), pa.binary()), pa.array(word_fingerprints(words, shingle)), pa.array(sizes, pa.int64()), prefixes]
-                yield pa.RecordBatch.from_arrays(found, ["id", "digest", "fp", "size", "prefix"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, fp bigint, size bigint, prefix array<bigint>")
+                words = Words(cut.column(0))
+                nodes = word_nodes(words)
+                fresh = np.zeros(nodes.size, bool)
+                for k, node in enumerate(nodes.tolist()):
+                    if node not in done:
+                        done.add(node)
+                        fresh[k] = True
+                keys, owner, place, sizes = _lead(words, width, share, common, seen)
+                kept = fresh[owner]
+                keys, owner, place = keys[kept], owner[kept], place[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[owner]), pa.array(sizes[owner] << 32 | place, pa.int64())], ["key", "node", "at"])
+
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
+    own = W.partitionBy("key")
+    rows = texts.mapInArrow(run, "key bigint, node bigint, at bigint")
+    rows = rows.withColumns({"n": F.count("*").over(own), "first": F.min(F.struct("at", "node")).over(own), "low": F.min("node").over(own), "high": F.max("node").over(own)})
+    rows = rows.filter("low <> high").dropDuplicates(["key", "node"])
+    parts = lambda at: [F.shiftright(at, 32).alias("size"), at.bitwiseAND((1 << 32) - 1).alias("pos")]
+    return rows.select("key", "node", *parts(F.col("at")), "n", F.struct(F.col("first.node").alias("node"), *parts(F.col("first.at"))).alias("head"))
+
+
+def _marked(hashes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
+    """A bitmap of fixed size in which each of ``hashes(h)`` has its bit set: bounded, however many there are."""
+    slot = F.pmod("h", F.lit(bits))
+    found = hashes.select(F.floor(slot / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bit").to_numpy()
+    return out
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, share: float) -> DataFrame:
     """The ``pairs(a, b)`` whose texts' shingle sets have a Jaccard similarity of ``share`` or more.
 
-    Only texts that some pair names are read again.
+    Sizes decide first, then sketches, where both texts have ``TRUSTED`` shingles: of those whose
+    similarity is ``share`` they all but never say less than ``share`` - 0.2, five standard deviations. The texts that are left are read again, one
+    of each kind, found by a bitmap of their ids; shingles are compared by 32 bits of their hash.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("size_a", "size_b") >= share * F.greatest("size_a", "size_b") - 1e-9)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (3, 4))
+            either = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+            keep = (((x == y) & (x > 0)).sum(axis=1) / either >= share - 0.2) | (batch.column(2).to_numpy() < TRUSTED)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    chosen = near.select("a", "b", F.least("size_a", "size_b").alias("size"), "sketch_a", "sketch_b").mapInArrow(likely, "a bigint, b bigint")
+    chosen = materialise(chosen, "likely")
+    ids = nodes.join(chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi").select(F.xxhash64("least").alias("h"))
+    marked = _marked(ids)
+    bits = marked.size * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in cuts(batch, "text"):
+            slots = batch.column(0).to_numpy() % bits
+            for cut in cuts(batch.filter(pa.array((marked[slots >> 6] >> (slots & 63)) & 1 == 1)), "text"):
                 words = Words(cut.column(1))
-                found = [cut.column(0), pa.array(word_digests(words), pa.binary()), shingle_sets(words, width)]
-                yield pa.RecordBatch.from_arrays(found, ["id", "digest", "shingles"])
-
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = nodes.join(named.hint("merge"), "node", "left_semi").select("node", F.col("least").alias("id"), "digest")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named.select("id").hint("merge"), "id", "left_semi")
-    sets = texts.mapInArrow(run, f"id {kind}, digest binary, shingles array<bigint>").join(named.hint("merge"), ["id", "digest"])
-    sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+                values, owner = _shingles(words, width)
+                values, owner = _distinct(values >> np.uint64(32), owner)
+                edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=cut.num_rows))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(word_nodes(words)), lists], ["node", "shingles"])
+
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    sets = materialise(texts.mapInArrow(run, "node bigint, shingles array<int>"), "shingles")
+    both = chosen.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
-    return both.filter((F.col("shared") > 0) & (F.col("shared") >= share * (F.col("total") - F.col("shared")) - 1e-9)).select("a", "b")
-
-
-def _apart(members: DataFrame, roots: DataFrame, bits: int, blocks: int, whole: int, chunk: int | None) -> DataFrame:
-    """(a, b): pairs of ``members(key, last, node, fp, n)`` of one bucket, not in one component, ``bits`` apart at most.
-
-    Of each pair one at least is outside its bucket's largest component. With ``chunk`` only
-    pairs of one part of a bucket, of about that many members, are named. A pair is named in the
-    first of the blocks' choices that it shares; where that one's bucket is small, or holds one
-    component, the pair is settled there.
-    """
-    placed = members.join(roots.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
-    placed = materialise(placed.select("key", "last", "node", "fp", "n", F.coalesce("root", "node").alias("root")), "placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("top")).filter("parts > 1")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)) if chunk else F.lit(0).cast("long")
-    mixed = placed.join(mixed.hint("merge"), "key").withColumn("part", part)
-    x, y = mixed.filter("root <> top").alias("x"), mixed.alias("y").hint("merge")
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    whole_of = [block_masks(blocks - 1, blocks)[k] for k in range(blocks)]
-    shared = sum(((differ.bitwiseAND(F.lit(m)) == 0) & (F.col("x.last") >= k)).cast("int") for k, m in enumerate(whole_of))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root"))
-    found = x.join(y, same & (F.bit_count(differ) <= bits) & (F.lit(whole) == shared))
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = materialise(both.filter((F.col("shared") > 0) & (F.col("shared") >= share * (F.col("total") - F.col("shared")) - 1e-9)).select("a", "b").distinct(), "alike")
+    discard(chosen, sets)
+    return found
 
 
 def _may_be_alike(x: str, y: str, share: float) -> Column:
@@ -309,111 +346,69 @@ def _apart_sharing(members: DataFrame, roots: DataFrame, share: float, chunk: in
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _near(nodes: DataFrame, bits: int, blocks: int, whole: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs(a, b), members of large buckets): candidates by fingerprint, in a large bucket those with its first text."""
-    bands = list(zip(combinations(range(blocks), whole), block_masks(blocks - whole, blocks), strict=True))
-    keyed = F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), F.lit(chosen[-1]).alias("last")) for i, (chosen, m) in enumerate(bands)])
-    keys = nodes.filter("least IS NOT NULL").select(F.explode(keyed).alias("k"), "node", "fp").select("k.key", "k.last", "node", "fp")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    members = materialise(keys.join(sizes.hint("merge"), "key"), "buckets")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
-    few = members.filter(F.col("n") <= bucket).select("key", "node", "fp")
-    pairs = few.alias("x").join(few.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    many = members.filter(F.col("n") > bucket)
-    stars = many.filter("node <> head").select("head", "node", "fp").distinct().alias("x")
-    stars = stars.join(nodes.alias("y").hint("merge"), (F.col("x.head") == F.col("y.node")) & near).select(F.col("x.head").alias("a"), F.col("x.node").alias("b"))
-    pairs = materialise(pairs.union(stars).distinct(), "pairs")
-    return pairs, many
-
-
-def _named(rows: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """(id, component_id) of every row, from the links ``found(a, b)``."""
-    roots = connected_components(found).withColumnRenamed("node", "of")
-    rooted = nodes.join(roots.hint("merge"), nodes["node"] == roots["of"], "left").select("digest", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("component_id")).hint("merge"), "root").select("digest", "component_id")
-    return rows.select("id", "digest").join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 8, whole: int = 3, bucket: int = 8) -> DataFrame:
-    """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links.
-
-    Texts of the same words are linked, and texts whose sets of ``width``-word shingles have a
-    Jaccard similarity of ``share`` or more, where their fingerprints (of ``shingle`` words) share
-    ``whole`` of ``blocks`` blocks and differ in at most ``bits`` bits. Fingerprints up to
-    ``blocks - whole`` bits apart always share that many blocks; more distant ones mostly do.
+def _near(nodes: DataFrame, bits: int, blocks: int, whole: int) -> DataFrame:
+    """(a, b): texts that share ``whole`` of ``blocks`` blocks with the smallest text there, ``bits`` apart from it at most."""
+    keyed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks - whole, blocks))])
+    keys = nodes.select(F.explode(keyed).alias("key"), "node", "fp", "size")
+    stars = keys.withColumn("head", F.min(F.struct("size", "node", "fp")).over(W.partitionBy("key"))).filter((F.col("node") != F.col("head.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= bits))
+    return stars.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
 
-    A bucket's texts are compared with each other; in one of more than ``bucket`` texts each is
-    first compared with the text of the smallest id, and then, where that leaves it outside the
-    bucket's largest component, with those of its part of the bucket, and where it is outside
-    still, with all texts of other components. So no link between components is lost, and
-    work is not quadratic in a group that its first text, or chance partners, hold together.
 
-    Texts without words, and nulls, are one group. Texts of fewer than ``width`` words are linked
-    to equal ones only, as are rows of null id, whose ``component_id`` is null if the text has no other.
-    Repeated rows stay repeated; an empty table gives no rows.
-    """
-    rows = materialise(_described(docs, id_col, text_col, shingle), "fingerprints")
-    classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp"))
-    nodes = materialise(classes.orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs, many = _near(nodes, bits, blocks, whole, bucket)
-    how = (nodes, docs, id_col, text_col, width, share)
-    found = materialise(_alike(pairs, *how), "alike")
-    for chunk in (4 * bucket, None):
-        cross = _apart(many, connected_components(found), bits, blocks, whole, chunk)
-        cross = materialise(cross.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        found = materialise(found.union(_alike(cross, *how)), "alike")
-        pairs = pairs.union(cross)
-    return _named(rows, nodes, found, id_col)
-
-
-def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 8, whole: int = 3, bucket: int = 8) -> DataFrame:
-    """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links.
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, shingle: int = 2, bits: int = 10, blocks: int = 6, whole: int = 2, bucket: int = 8, tag: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its id and ``component_id``, the smallest id reachable over links; ``tag`` adds ``node``.
 
     Texts of the same words are linked, and all texts whose sets of ``width``-word shingles have a
-    Jaccard similarity of ``share`` or more. Candidates that the similarity is computed of come first
-    from fingerprints (of ``shingle`` words) that share ``whole`` of ``blocks`` blocks and differ
-    in at most ``bits`` bits. These find most links, not all; so then texts of different
-    components are compared that share one of their rarest shingles, which any two texts as similar as that do.
+    Jaccard similarity of ``share`` or more. First candidates come from fingerprints (of ``shingle`` words): each text with the smallest that shares
+    ``whole`` of ``blocks`` blocks, if at most ``bits`` bits differ. At this similarity fingerprints
+    differ by some ten bits, too many for blocks to name every pair; so texts are compared, too, that share one of
+    their rarest shingles, a fifth of each text's, which any two texts of the similarity do.
 
-    A bucket's texts are compared with each other; in one of more than ``bucket`` texts each is
-    first compared with the text of the smallest id, and then, where that leaves it outside the
-    bucket's largest component, with those of its part of the bucket, and where it is outside
-    still, with all texts of other components. So no link between components is lost, and
-    work is not quadratic in a group that its first text, or chance partners, hold together.
+    Each text is first compared with the smallest of its bucket: of texts that a passage makes alike, that is the one most
+    like the others. Where a bucket is left with several components, members outside the largest are compared with
+    those of other components, in a bucket of over four times ``bucket`` texts first with their part of it. So no link
+    between components is lost, and work is linear in a group that its smallest text holds together.
 
     Texts without words, and nulls, are one group. Texts of fewer than ``width`` words are linked
-    to equal ones only, as are rows of null id, whose ``component_id`` is null if the text has no other.
+    to equal ones only. Rows of null id are not linked; their ``component_id`` is that of a text of the same words, or null.
     Repeated rows stay repeated; an empty table gives no rows.
     """
-    rows = materialise(_described_whole(docs, id_col, text_col, shingle, width, share), "fingerprints")
-    classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = materialise(classes.orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    own = nodes.filter("least IS NOT NULL")
-    near, _ = _near(nodes, bits, blocks, whole, bucket)
-    rare = own.select(F.posexplode("prefix").alias("pos", "key"), "node", "size")
-    held = rare.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "pos")).alias("head")).filter("n > 1")
-    sharing = materialise(rare.join(held.hint("merge"), "key"), "sharing")
-    first = sharing.filter((F.col("n") > bucket) & (F.col("node") != F.col("head.node"))).select("head", F.struct("node", "size", "pos").alias("own"))
-    first = first.filter(_may_be_alike("head", "own", share)).select(F.col("head.node").alias("a"), F.col("own.node").alias("b"))
-    pairs = materialise(near.union(first).distinct(), "pairs")
-    how = (nodes.select("node", "least", "digest"), docs, id_col, text_col, width, share)
-    found = materialise(_alike(pairs, *how), "alike")
+    rows = materialise(_described(docs, id_col, text_col, shingle, width), "described")
+    nodes = materialise(rows.filter("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "sketch")]), "nodes")
+    sharing = materialise(_sharing(docs, id_col, text_col, width, share), "sharing")
+    stars = sharing.filter(F.col("node") != F.col("head.node")).select("head", F.struct("node", "size", "pos").alias("own")).filter(_may_be_alike("head", "own", share))
+    stars = stars.select(F.least("head.node", "own.node").alias("a"), F.greatest("head.node", "own.node").alias("b"))
+    tried = materialise(_near(nodes.filter("size > 0"), bits, blocks, whole).union(stars).distinct(), "pairs")
+    how = (nodes.select("node", "least", "size", "sketch"), docs, id_col, text_col, width, share)
+    found = _alike(tried, *how)
     for every in (False, True):
         cross = _apart_sharing(sharing.drop("head"), connected_components(found), share, 4 * bucket, every)
-        cross = materialise(cross.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        found = materialise(found.union(_alike(cross, *how)), "alike")
-        pairs = pairs.union(cross)
-    return _named(rows, nodes, found, id_col)
+        cross = materialise(cross.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        if not cross.isEmpty():
+            found, tried = found.union(_alike(cross, *how)), tried.union(cross)
+    roots = connected_components(found).withColumnRenamed("node", "of")
+    rooted = nodes.select("node", "least").join(roots.hint("merge"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least.hint("merge"), "root").select("node", "component_id")
+    return rows.select("id", "node").join(named.hint("merge"), "node", "left").select(F.col("id").alias(id_col), "component_id", *["node"] * tag)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=simhash_groups, **how) -> DataFrame:
     """``docs`` without the near copies: of each group that ``find`` names the rows with the smallest id stay.
 
-    Rows that share both id and group stay together. A row with a null id stays, as no
-    other row can be told from it by its id.
+    Rows are told apart by id and words, so an id that several texts share goes only where its
+    group has a smaller one, and no group loses all its rows. Rows that share both id and group stay together. A row
+    with a null id stays. Empty texts are a group like any other. An empty table gives no rows.
     """
-    gone = unused(docs, "__gone")
-    groups = find(docs, id_col, text_col, **how)
-    copies = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(copies.hint("merge"), F.col(id_col) == F.col(gone), "left_anti")
+    bound_batches(docs.sparkSession)
+    names = [unused(docs, c) for c in ("__gone", "__words", "__node")]
+    groups = find(docs, id_col, text_col, tag=True, **how)
+    copies = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(names[0]), F.col("node").alias(names[1])).distinct()
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in cuts(batch, batch.schema.names[at]):
+                yield cut.append_column(names[2], pa.array(word_nodes(Words(cut.column(at)))))
+
+    tagged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[2], T.LongType())]))
+    return tagged.join(copies.hint("merge"), (F.col(id_col) == F.col(names[0])) & (F.col(names[2]) == F.col(names[1])), "left_anti").drop(names[2])
