@@ -1,15 +1,16 @@
 """Toxicity by compression distance: which of two dictionaries packs a text's windows smaller.
 
-Each class's dictionary lists the segments of its labelled text. Segments (words, and beginnings
-of words) that both classes use stand in both dictionaries; one that a class all but owns
-stands in that class's alone. A window of words that compresses shorter with the toxic
-dictionary than with the ordinary one is evidence, and thresholds on a text's window
+Both dictionaries are trained by Zstandard. The ordinary one is trained on the ordinary texts. The toxic one is that, and behind it what is
+trained on the toxic texts alone, of which only the segments are taken that these use far more often than
+the ordinary ones do: a whole toxic text is mostly ordinary prose, which would fill the dictionary. The ordinary
+one is padded to the same length, so that references to what both hold cost the same. A window of words that compresses
+shorter with the toxic dictionary is evidence, and thresholds on a text's window
 differences are calibrated on documents that the dictionaries were not trained on.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +24,12 @@ from .scratch import bound_batches
 from .text import Words, cuts
 
 WINDOW_WORDS, WINDOW_BYTES, LEVEL = 8, 512, 3
-TRIM = b".,;:!?#$%&*|<>()[]{}\"'"
 FEATURES = 6
-LEAD, RATIO, REACH = 2.5, 0.03, 0.1  # what makes a segment one class's own: its lead, the other's share, the lead against the largest
+SEGMENT = 6  # bytes of a segment
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 2 << 10
+LEAD, RATIO = 3.0, 5.0  # what makes a segment a class's own: its lead in standard deviations, and how many times as often it must occur
+DICT_MAGIC = b"\x37\xa4\x30\xec"
+FIRST_REPEATS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # ends the header of a trained dictionary; its content follows
 
 
 @dataclass
@@ -38,57 +42,61 @@ class ToxicityModel:
     shift: float
 
 
-def segment_counts(texts: list[str], longest: int = 24) -> tuple[Counter, int]:
-    """(count of each segment, number of contexts): words, and beginnings of words of four bytes or more.
-
-    A segment counts once for each distinct (word before, word, word after), so a copied
-    passage counts once.
-    """
-    counts: Counter = Counter()
-    seen: set[int] = set()
-    words_of: Counter = Counter()
-    for text in texts:
-        words = [b"", *text.encode().lower().split(), b""]
-        for context in zip(words, words[1:], words[2:], strict=False):
-            key = hash(context)
-            if key not in seen:
-                seen.add(key)
-                words_of[context[1].strip(TRIM)[:longest]] += 1
-    for word, n in words_of.items():
-        for k in range(4, len(word)):
-            counts[word[:k]] += n
-        counts[word] += n
-    return counts, len(seen)
-
-
-def dictionaries(toxic: list[str], ordinary: list[str], least: int = 3, size: int = 48 << 10) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) raw-content dictionaries trained on the texts of each class."""
-    (plain, n_plain), (bad, n_bad) = segment_counts(ordinary), segment_counts(toxic)
-    scale = n_bad / max(1, n_plain)
-    shared, own = [], ([], [])
-    for segment in plain.keys() | bad.keys():
-        a, b = plain[segment] * scale, bad[segment]
-        if a + b < least or not segment:
-            continue
-        lead = (b - a) / (a + b + 1) ** 0.5
-        if abs(lead) >= LEAD and min(a, b) <= RATIO * max(a, b):
-            own[lead > 0].append((abs(lead), segment))
-        elif a + b >= 1e-4 * n_bad:
-            shared.append((a + b, segment))
-    common = _packed(shared, size)
-    own = [[x for x in some if x[0] >= REACH * max(some)[0]] for some in own]
-    return common + _packed(own[0], size // 12), common + _packed(own[1], size // 12)
-
-
-def _packed(segments: list[tuple[float, bytes]], size: int) -> bytes:
-    """The weightiest segments that fit, the weightiest last, where references to them are cheapest."""
-    out, held = [], 0
-    for _, segment in sorted(segments, reverse=True):
-        held += len(segment) + 1
-        if held > size:
-            break
-        out.append(b" " + segment)
-    return b"".join(out[::-1])
+def _trained(samples: list[bytes], size: int, piece: int) -> bytes:
+    """The content of a dictionary that Zstandard's trainer makes of ``samples``; of too few, their end."""
+    samples = [x for x in samples if len(x) >= 8]
+    try:
+        whole = zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 2)), samples, k=piece, d=SEGMENT).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+    return whole[whole.index(FIRST_REPEATS) + len(FIRST_REPEATS) :] if whole[:4] == DICT_MAGIC else whole
+
+
+def _segments(text: bytes) -> np.ndarray:
+    """Each run of ``SEGMENT`` bytes of ``text`` as a number."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, data.size - SEGMENT + 1), np.uint64)
+    for j in range(SEGMENT if out.size else 0):
+        out = (out << np.uint64(8)) | data[j : j + out.size]
+    return out
+
+
+def _spread(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, number of texts that hold it), sorted."""
+    return np.unique(np.concatenate([np.unique(_segments(t)) for t in texts]), return_counts=True)
+
+
+def _own(text: bytes, own: np.ndarray) -> bytes:
+    """The parts of ``text`` that segments of the sorted ``own`` cover, one after the other."""
+    keys = _segments(text)
+    if not keys.size or not own.size:
+        return b""
+    at = np.searchsorted(own, keys)
+    at[at == own.size] = 0
+    begins = np.flatnonzero(own[at] == keys)
+    change = np.zeros(len(text) + 1, np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, begins + SEGMENT, -1)
+    return np.frombuffer(text, np.uint8)[np.cumsum(change)[:-1] > 0].tobytes()
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 1) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) raw-content dictionaries trained on the texts of each class; a text that repeats counts once."""
+    bad, plain = ([b" " + b" ".join(t.encode().lower().split()) + b" " for t in dict.fromkeys(texts)] for texts in (toxic, ordinary))
+    windows = []
+    for text in plain:
+        words = text.split()
+        windows += [b" " + b" ".join(words[k : k + WINDOW_WORDS]) + b" " for k in range(0, len(words), WINDOW_WORDS)]
+    random.Random(seed).shuffle(windows)
+    base = _trained(windows[:60_000], ORDINARY_BYTES, 24)
+    keys, n = _spread(bad)
+    others, m = _spread(plain)
+    at = np.searchsorted(others, keys)
+    at[at == others.size] = 0
+    there = np.where(others[at] == keys, m[at], 0) * (len(bad) / len(plain))
+    own = keys[((n - there) / np.sqrt(n + there + 1) > LEAD) & (n > RATIO * there)]
+    part = _trained([x for x in (_own(t, own) for t in bad) if x], TOXIC_BYTES, 16)
+    return base + bytes(len(part)), base + part
 
 
 def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
