@@ -12,8 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import materialise, new_path, remove, unused
+from .scratch import discard, materialise, new_path, remove, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -73,16 +74,24 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(name)
 
+    def _merged(self, one: str, other: str) -> DataFrame:
+        """Two runs as one: they are sorted, dealt alike and share no key, so a full merge join reads both in order."""
+        x, y = self.spark.table(one).alias("x"), self.spark.table(other).alias("y").hint("merge")
+        both = x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")), "full")
+        return both.select(*[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("h1", "h2", "owner")])
+
     def _compact(self) -> None:
-        """Merges the runs of every full level into one run of the next."""
+        """Merges the runs of every full level into one run of the next, two at a time."""
         for level in range(60):
             if level >= len(self.levels) or len(self.levels[level]) < self.fanout:
                 return
-            old, self.levels[level] = self.levels[level], []
-            merged = reduce(DataFrame.union, [self.spark.table(name) for name in old])
-            self._write(merged.repartition(self.buckets, "h1", "h2"), level + 1)
-            for name in old:
-                self._drop(name)
+            while len(self.levels[level]) > 1:
+                one, other = self.levels[level][:2]
+                last = len(self.levels[level]) == 2
+                self._write(self._merged(one, other), level + 1 if last else level)
+                for name in (one, other):
+                    self.levels[level].remove(name)
+                    self._drop(name)
 
     def _drop(self, name: str) -> None:
         path = self.spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()[1]
@@ -95,12 +104,17 @@ class LineRuns:
         self.levels = [[]]
 
 
-def batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list:
-    """Ids that cut ``docs`` into about equal ranges; none for ids that are not numbers."""
-    if batches < 2 or docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+def batch_bounds(docs: DataFrame, id_col: str, batches: int, sample: int = 1000) -> list:
+    """Ids that cut ``docs`` into about equal ranges: quantiles of numbers, of other ids those of ``sample`` chosen by hash."""
+    if batches < 2:
         return []
-    cuts = docs.agg(F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 1000)).first()[0]
-    return sorted(set(cuts or []))
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, T.NumericType):
+        cuts = docs.agg(F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 1000)).first()[0]
+        return sorted(set(cuts or []))
+    some = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    ids = [r.id for r in some.orderBy("id").collect()]
+    return list(dict.fromkeys(ids[k * len(ids) // batches] for k in range(1, batches))) if ids else []
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -120,26 +134,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType
     bounds = batch_bounds(docs, id_col, batches)
     lines = materialise(line_table(docs, id_col, text_col, min_chars), "lines")
-    runs = LineRuns(spark, fanout)
-    at = F.col("id")
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = lines
-        if low is not None:
-            batch = batch.filter((at > low) | at.isNull()) if high is None else batch.filter(at > low)
-        if high is not None:
-            batch = batch.filter(at <= high)
-        runs.add(batch)
-    owned = runs.read().select("h1", "h2", F.col("owner").alias("__owner"), F.lit(True).alias("owns"))
-    same = (lines["h1"] == owned["h1"]) & (lines["h2"] == owned["h2"]) & lines["id"].eqNullSafe(owned["__owner"])
-    flagged = lines.join(owned, same, "left").select("id", "text_hash", "pos", (lines["h1"].isNull() | F.col("owns").isNotNull()).alias("keep"))
-    per_text = flagged.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "keep"))).alias("flags"))
     bare = docs.drop("n_lines", "n_dropped")
     own, of_text, hashed, keep = (unused(bare, f"__{n}") for n in ("id", "text_hash", "hash", "keep"))
-    flags = materialise(per_text.select(F.col("id").cast(kind).alias(own), F.col("text_hash").alias(of_text), F.col("flags.keep").alias(keep)), "line-flags")
-    runs.drop()
+    runs = LineRuns(spark, fanout)
+    try:
+        at = F.col("id")
+        edges = [None, *bounds, None]
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = lines
+            if low is not None:
+                batch = batch.filter((at > low) | at.isNull()) if high is None else batch.filter(at > low)
+            if high is not None:
+                batch = batch.filter(at <= high)
+            runs.add(batch)
+        owned = runs.read().select("h1", "h2", F.col("owner").alias("__owner"), F.lit(True).alias("owns"))
+        same = (lines["h1"] == owned["h1"]) & (lines["h2"] == owned["h2"]) & lines["id"].eqNullSafe(owned["__owner"])
+        flagged = lines.join(owned, same, "left").select("id", "text_hash", "pos", (lines["h1"].isNull() | F.col("owns").isNotNull()).alias("keep"))
+        per_text = flagged.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "keep"))).alias("flags"))
+        flags = materialise(per_text.select(F.col("id").cast(kind).alias(own), F.col("text_hash").alias(of_text), F.col("flags.keep").alias(keep)), "line-flags")
+    finally:
+        runs.drop()
+    discard(lines)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = bare.withColumn(hashed, F.xxhash64(text)).join(flags.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(of_text)))
+    joined = bare.withColumn(hashed, F.xxhash64(text)).join(flags.hint("merge"), F.col(id_col).eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(of_text)))
     dropped = F.size(F.filter(keep, lambda k: ~k)).cast("long")
     kept = F.array_join(F.zip_with(F.split(text, "\n", -1), F.col(keep), lambda line, k: F.when(k, line)), "\n")
     out = [F.when(dropped == 0, text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in bare.columns]
