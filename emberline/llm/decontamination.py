@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Items are partitioned by their number of shingles (powers of two). Each item of a partition is
+A sketch of a long document says nothing of a short item in it, so containment is tested one way, as in containment
+MinHash: an item's bottom-k sketch against all shingles of the document. Items are partitioned by their number of shingles (powers of two). Each item of a partition is
 sketched by its ``k`` smallest shingle hashes, ``k`` being one more than the shingles that an
 item of the partition's largest size may lack. A document that holds the share asked for must
 hold one of the ``k``, so the search misses nothing; candidates are verified on the shingles.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import bound_batches, materialise
 from .text import Words, combined, cuts
 
 
@@ -100,15 +101,14 @@ def contained(words: Words, text: int, shingles: list[bytes]) -> int:
     return len(wanted & {b" ".join(tokens[i : i + width]) for i in range(len(tokens) - width + 1)})
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, most: int) -> list[list]:
-    """The items in blocks of about ``most`` bytes of text, sized before any is brought to the driver."""
+def item_blocks(items: DataFrame, item_id: str, item_text: str, most: int) -> Iterator[tuple[list, bool]]:
+    """(items, whether more follow) in blocks of about ``most`` bytes of text; one block at a time is on the driver."""
     total = items.agg(F.sum(F.octet_length(F.col(item_text)) + 64)).first()[0] or 0
     blocks = max(1, -(-total // most))
     rows = items.select(item_id, item_text)
-    if blocks == 1:
-        return [[tuple(r) for r in rows.collect()]]
     part = F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks))
-    return [[tuple(r) for r in rows.filter(part == b).collect()] for b in range(blocks)]
+    for b in range(blocks):
+        yield [tuple(r) for r in (rows.filter(part == b) if blocks > 1 else rows).collect()], b < blocks - 1
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, share: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
@@ -120,16 +120,16 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     Rows are not merged: a repeated document row repeats its pairs, and so does an item row.
 
     Items are searched in blocks of at most about ``block_bytes`` of text, each a pass over
-    ``docs``; only a block's sketches and shingles travel to the tasks.
+    ``docs`` that is finished before the next block is read; only a block's sketches and shingles travel to the tasks.
     """
     bound_batches(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, n_shared bigint, n_shingles bigint, containment double"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        sketches = sketch(block, width, share)
-        found = rows.mapInArrow(_search(sketches, share), schema)
+    for block, more in item_blocks(items, item_id, item_text, block_bytes):
+        found = rows.mapInArrow(_search(sketch(block, width, share), share), schema)
+        found = materialise(found, "contained") if more or out is not None else found
         out = found if out is None else out.union(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shared", "n_shingles", "containment")
 
@@ -161,8 +161,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """The rows of ``docs``, all columns, that contain no item; texts are judged row by row."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_id, item_text, block_bytes):
+    for block, more in item_blocks(items, item_id, item_text, block_bytes):
         docs = docs.mapInArrow(_clean(sketch(block, width, share), share, at), docs.schema)
+        docs = materialise(docs, "clean") if more else docs
     return docs
 
 
