@@ -22,7 +22,11 @@ _deltas: dict[str, UnitCache] = {}
 
 
 def _unit_deltas(counts: list[int]) -> bytes:
-    return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
+    """The changes from prefix to prefix as signed bytes; one that does not fit, which no model with pieces of under 128 characters makes, is an error."""
+    changes = [b - a for a, b in zip(counts, counts[1:], strict=False)]
+    if changes and not -128 <= min(changes) <= max(changes) <= 127:
+        raise ValueError("a token count changes by more than a signed byte holds")
+    return bytes([x & 255 for x in changes])
 
 
 def deltas(model: PieceModel, texts: list[str], cache: UnitCache) -> list[bytes]:
@@ -84,22 +88,25 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
 
 def fitting_chars(stored: Column, budget: int) -> Column:
-    """Code points of the longest prefix of at most ``budget`` tokens, from stored deltas."""
+    """Code points of the longest prefix of at most ``budget`` tokens, from stored deltas; null for null."""
 
     @F.pandas_udf(T.LongType())
     def run(column):
-        return column.map(lambda x: longest_within(x, budget))
+        import pandas as pd
+
+        return pd.Series([None if x is None else longest_within(x, budget) for x in column], dtype="Int64")
 
     return run(stored)
 
 
 def tokens_of_prefix(stored: Column, chars: Column) -> Column:
-    """Token count of the prefix of ``chars`` code points (the whole text's, if it is shorter)."""
+    """Token count of the prefix of ``chars`` code points (the whole text's, if it is shorter); null for a null of either."""
 
     @F.pandas_udf(T.LongType())
     def run(column, lengths):
         import pandas as pd
 
-        return pd.Series([int(np.frombuffer(x, np.int8)[: max(0, int(k))].sum(dtype=np.int64)) for x, k in zip(column, lengths, strict=True)], dtype="int64")
+        known = [None if x is None or pd.isna(k) else int(np.frombuffer(x, np.int8)[: max(0, int(k))].sum(dtype=np.int64)) for x, k in zip(column, lengths, strict=True)]
+        return pd.Series(known, dtype="Int64")
 
     return run(stored, chars)
