@@ -124,7 +124,6 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         self.plain = not self.char_map.units and not self.squeeze and self.prefix and self.escape
         self.cut = re.compile(_cut_pattern([p for p in self.ids if len(p) > 1]))
-        self.source_size = {p: len(p.encode()) - 2 * p.count(SPACE) for p in self.ids}  # a mark stands for a space
         self._pairs: dict[int, bool] = {}
 
     # -- normalisation ---------------------------------------------------------------------
@@ -136,6 +135,11 @@ class PieceModel:
         The alignment has one entry more than the text, the end of the source read.
         """
         mark = SPACE.encode() if self.escape else b" "
+        if text and not self.char_map.units and not self.squeeze:  # no prefix of anything is in the map: only blanks change
+            lengths = np.ones(len(text) + 1, np.int64)
+            lengths[:-1][np.frombuffer(text, np.uint8) == 0x20] = len(mark)
+            lead = mark if self.prefix else b""
+            return lead + text.replace(b" ", mark), np.concatenate([np.zeros(len(lead), np.int64), np.repeat(np.arange(lengths.size), lengths)])
         out, origin, at = bytearray(), [], 0
         if self.squeeze:
             while at < len(text):

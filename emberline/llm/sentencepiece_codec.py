@@ -13,53 +13,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, PieceModel, UnitCache, load, packed
+from .pieces import PieceModel, UnitCache, load, packed
 from .scratch import bound_batches
 from .text import cuts
 
 _units: dict[str, UnitCache] = {}
 
 
-def _encoded(model: PieceModel, unit: str) -> tuple[bytes, bytes]:
-    """(ids, normalised length of each id's piece) of a unit, as little-endian unsigned 32-bit integers."""
+def _encoded(model: PieceModel, unit: str) -> tuple[bytes, bytes, str]:
+    """(ids, normalised length of each id's piece, as little-endian unsigned 32-bit integers, and what they decode to within a text)."""
     ids, sizes = [], []
     for piece in model.unit_pieces(unit):
         own = model.piece_ids(piece)
         ids += own
         size = len(piece.encode())
         sizes += [size] if len(own) == 1 else [1] * size  # a byte piece covers its byte
-    return packed(ids), packed(sizes)
+    inside = model.ids["a"]  # a piece before, as within a text a mark at the beginning is a blank
+    return packed(ids), packed(sizes), model.decode([inside, *ids])[1:]
 
 
-def _quick(model: PieceModel, unit: str) -> tuple[bytes, bytes, str]:
-    """(ids, length of each in the source, each mark being a space, what the ids decode to within a text)."""
-    pieces = model.unit_pieces(unit)
-    known = model.ids
-    try:
-        return packed([known[p] for p in pieces]), packed([model.source_size[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
-    except KeyError:
-        pass
-    ids, sizes = [], []
-    for piece in pieces:
-        own = model.piece_ids(piece)
-        ids += own
-        sizes += [model.source_size[piece]] if piece in known else [1] * len(own)
-    return packed(ids), packed(sizes), model.decode([known["a"], *ids])[1:]
-
-
-def encode(model: PieceModel, text: str, bos: bool = True, eos: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, spans): spans[k] is (first, end) of the source bytes of the k-th id.
+def encode(model: PieceModel, text: str, bos: bool = True, eos: bool = True, cache: UnitCache | None = None) -> tuple[np.ndarray, np.ndarray, str]:
+    """(ids, spans, decoded text): spans[k] is (first, end) of the source bytes of the k-th id.
 
+    The text is normalised by the compiled character map, which records where each byte comes from; its
+    units are encoded (or known from ``cache``), and each piece is projected on the source through the record.
     Marks added before the text, begin and end ids have empty spans; bytes that normalisation
     drops belong to the piece before them.
     """
     source = text.encode()
     norm, origin = model.normalised(source)
-    parts = [_encoded(model, unit) for unit in (model.cut.findall(norm.decode()) if norm else [])]
-    ids = np.frombuffer(b"".join(p[0] for p in parts), "<u4")
-    ends = np.cumsum(np.frombuffer(b"".join(p[1] for p in parts), "<u4"), dtype=np.int64)
+    units = model.cut.findall(norm.decode()) if norm else []
+    parts = [cache[unit] for unit in units] if cache is not None else [_encoded(model, unit) for unit in units]
+    ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
+    ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), "<u4"), dtype=np.int64)
     starts = np.concatenate([[0], ends[:-1]]) if ends.size else ends
-    return _framed(model, ids, origin[starts], origin[ends], len(source), bos, eos)
+    framed, spans = _framed(model, ids, origin[starts], origin[ends], len(source), bos, eos)
+    if model.plain:
+        decoded = "".join([p[2] for p in parts])[1:]  # the added mark decodes to nothing
+    else:
+        decoded = model.decode(framed.tolist())
+    return framed, spans, decoded
 
 
 def _framed(model: PieceModel, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, bos: bool, eos: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +63,6 @@ def _framed(model: PieceModel, ids: np.ndarray, starts: np.ndarray, ends: np.nda
     return np.concatenate([head, ids, tail]).astype("<u4"), spans
 
 
-def encode_cached(model: PieceModel, text: str, cache: UnitCache, bos: bool = True, eos: bool = True) -> tuple[np.ndarray, np.ndarray, str]:
-    """(ids, spans, decoded text), the same as by ``encode`` and ``decode``, through a cache of units."""
-    if not text or not model.plain or SPACE in text:
-        ids, spans = encode(model, text, bos, eos)
-        return ids, spans, model.decode(ids.tolist())
-    own, sizes, surfaces = zip(*[cache[unit] for unit in model.units(text)], strict=True)
-    ids = np.frombuffer(b"".join(own), "<u4")
-    ends = np.cumsum(np.frombuffer(b"".join(sizes), "<u4"), dtype=np.int64)
-    ends -= 1  # the mark before the text
-    starts = np.concatenate([[0], ends[:-1]])
-    ids, spans = _framed(model, ids, starts, ends, int(ends[-1]), bos, eos)
-    return ids, spans, "".join(surfaces)[1:]  # the added mark decodes to nothing
-
-
 def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, ``carry`` columns, n_tokens, ids binary, spans binary, decoded) of every row; a null text is an empty one.
 
@@ -97,10 +76,10 @@ def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        cache = _units.setdefault(model_path, UnitCache(lambda unit: _quick(model, unit), 800_000))
+        cache = _units.setdefault(model_path, UnitCache(lambda unit: _encoded(model, unit), 800_000))
         for batch in batches:
             for cut in cuts(batch, "text", 1 << 20):
-                found = [encode_cached(model, t or "", cache, bos, eos) for t in cut.columns[-1].to_pylist()]
+                found = [encode(model, t or "", bos, eos, cache) for t in cut.columns[-1].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*cut.columns[:-1], pa.array([f[0].size for f in found], pa.int64()), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), pa.array([f[2] for f in found], pa.string())],
                     [*names, "n_tokens", "ids", "spans", "decoded"],
