@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, line_dedup, lm, quality, secrets, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from .scratch import materialise
 
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -38,13 +39,14 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"), least=100)
     body = F.col("payload")
-    return records.select(
+    narrow = records.select(
         "page_id",
         F.coalesce(F.octet_length(body).cast("long"), "payload_bytes").alias("payload_bytes"),
         F.coalesce(F.sha2(body, 256), "payload_digest").alias("payload_digest"),
         "record_type",
         "refers_to",
     )
+    return warc.checked(materialise(narrow, "records"))
 
 
 def op4_lm_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_table(table(spark, sf_dir, "documents"), vocabulary())
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

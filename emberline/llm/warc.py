@@ -1,9 +1,9 @@
 """WARC archives compressed as Zstandard, one frame per record, with a dictionary in the file.
 
 File layout: a skippable frame (magic ``0x184D2A5D``) that holds the dictionary, then one frame
-per record. Spark's text writer lays the files down, so that its commit protocol covers lost
-executors and any file system it knows; the line separator it must write after each row is
-itself an empty skippable frame, which readers of the format pass over.
+per record, with an empty skippable frame, which readers of the format pass over, between any two. Spark's text
+writer lays the files down, one for each of its rows, so that its commit protocol covers lost
+executors and any file system it knows; the line separator it must write is such an empty frame.
 """
 
 from __future__ import annotations
@@ -85,40 +85,48 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, payload_col: str
     """(page_id, url, payload binary, digest, refers_to): ``refers_to`` names the page whose payload this one repeats.
 
     Of pages with equal payloads of at least ``least`` bytes the smallest id is the original
-    and every row that carries it has a null ``refers_to``; a group of null ids only has none.
+    and every row that carries it has a null ``refers_to``; a group of null ids only has none. Smaller payloads have no original,
+    and are dealt by their page and not by their digest, so that many empty ones do not meet in a task.
     """
     text = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), text.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    big = base.filter(F.octet_length("payload") >= least)
-    firsts = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = base.join(firsts.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest"), "left")
+    large = F.octet_length("payload") >= least
+    firsts = base.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    keyed = base.withColumn("__key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))))
+    joined = keyed.join(firsts.withColumnRenamed("digest", "__digest").hint("merge"), F.col("__key") == F.col("__digest"), "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, level: int = 3, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 16 << 20) -> None:
     """Writes a record per row of ``pages`` to archives below ``path``; null payloads are empty.
 
     Payloads of at least ``least`` bytes that repeat an earlier page's become revisit records.
-    Rows that share an id each get a record. Ids must be integers. An empty table gives no
-    archive with records.
+    Rows that share an id each get a record. Ids must be integers. An archive is closed once it has
+    ``archive_bytes``, so that readers may hold one whole. An empty table gives no archive with records.
     """
     bound_batches(pages.sparkSession)
     words = train(pages, payload_col)
+    lead = struct.pack("<II", DICT_MAGIC, len(words)) + words if words else b""
+    gap = EMPTY_SKIP.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary = _dictionary(words)
-        pack = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True, write_content_size=True)
-        begun = False
+        pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(words), write_checksum=True, write_content_size=True)
+        whole = lambda parts: pa.RecordBatch.from_arrays([pa.array([gap.join(parts)], pa.binary())], ["archive"])
+        parts, held = [lead] if lead else [], 0
         for batch in batches:
-            frames = [] if begun or not words else [struct.pack("<II", DICT_MAGIC, len(words)) + words]
-            begun = True
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                frames.append(pack.compress(record(*row, date)))
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                parts.append(pack.compress(record(*row, date)))
+                held += len(parts[-1])
+                if held >= archive_bytes:
+                    yield whole(parts)
+                    parts, held = [lead] if lead else [], 0
+        if held:
+            yield whole(parts)
 
     rows = with_originals(pages, id_col, url_col, payload_col, least)
-    frames = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_SKIP).option("compression", "none").text(path)
+    archives = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive binary")
+    plain = archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", EMPTY_SKIP).option("compression", "none")
+    plain.option("maxRecordsPerFile", 1).text(path)
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -247,6 +255,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, RECORDS)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """``records`` (without payloads), each revisit held against the response it names: another length or digest, or none, raises.
+
+    ``records`` has the columns page_id, record_type, refers_to, payload_bytes and payload_digest, of which the last two must fit.
+    """
+    named = records.filter("record_type = 'response'").select(F.col("page_id").alias("__page"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest")).distinct()
+    fits = (F.col("payload_bytes") == F.col("__bytes")) & (F.col("payload_digest") == F.col("__digest"))
+    revisits = records.filter("record_type = 'revisit'")
+    joined = revisits.join(named.hint("merge"), (F.col("refers_to") == F.col("__page")) & fits, "left")
+    bad = F.raise_error(F.concat(F.lit("no response that fits the revisit record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    kept = joined.withColumn("payload_digest", F.when(F.col("__page").isNull(), bad).otherwise(F.col("payload_digest"))).select(*records.columns)
+    return records.filter("record_type = 'response'").unionByName(kept)
+
+
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads their records back."""
     path = new_path(pages.sparkSession, "warc")

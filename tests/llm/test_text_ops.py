@@ -241,6 +241,11 @@ def test_budget_columns(docs):
     for r in at:
         counts = token_counts.counts_of(bytes(r.prefix_deltas))
         assert counts[r.k] <= 7 and all(counts[r.k + 1 :] > 7)
+    none = table.sparkSession.range(3).select(F.when(F.col("id") > 0, F.lit(b"\x01\x01")).alias("d"), F.when(F.col("id") < 2, F.lit(1)).alias("k"))
+    got = none.select(token_counts.fitting_chars(F.col("d"), 1).alias("a"), token_counts.tokens_of_prefix(F.col("d"), F.col("k")).alias("b")).collect()
+    assert sorted((r.a is None, r.b is None) for r in got) == [(False, False), (False, True), (True, True)]
+    with pytest.raises(ValueError, match="signed byte"):
+        token_counts._unit_deltas([0, 200])
     whole = table.select("n_tokens", token_counts.tokens_of_prefix(F.col("prefix_deltas"), F.lit(10**9)).alias("n"))
     assert all(r.n_tokens == r.n for r in whole.collect())
 
@@ -275,9 +280,9 @@ def test_normalisation_through_the_compiled_map(rule, squeeze):
     parts = ["the", "ing", " ", "  ", "\n", "é", "漢", "🙂", "ﬁ", "①", "Å", "　", "▁", "\x00", "Ⅷ", "ｶﾞ", "½"]
     for _ in range(300):
         text = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
-        ids, spans = sentencepiece_codec.encode(own, text)
+        ids, spans, decoded = sentencepiece_codec.encode(own, text)
         assert ids.tolist() == lib.encode(text, add_bos=True, add_eos=True)
-        assert own.decode(ids.tolist()) == lib.decode(ids.tolist())
+        assert decoded == own.decode(ids.tolist()) == lib.decode(ids.tolist())
         if not set(ids.tolist()) & own.id_bytes.keys():
             assert [tuple(s) for s in spans[1:-1].tolist()] == [(p.begin, p.end) for p in lib.encode(text, return_type="proto").pieces]
 

@@ -95,7 +95,8 @@ def test_lm_counts_and_mixture(spark):
     assert sum(s for s, _ in held) > sum(b for _, b in held)
 
 
-def test_lm_score_is_the_mixture(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_score_is_the_mixture(spark, order):
     """The scores follow from brute-force n-gram counts and the fitted weights."""
     rows = [(k, "a b a c" if k % 2 else "b a b d", "en", "s", 0) for k in range(40)]
     seen = {}
@@ -107,26 +108,37 @@ def test_lm_score_is_the_mixture(spark):
 
     lm.mixture = spy
     try:
-        got = {r.doc_id: r.score for r in lm.score(frame(spark, rows)).collect()}
+        got = {r.doc_id: r.score for r in lm.score(frame(spark, rows), order=order).collect()}
     finally:
         lm.mixture = fitted
     _, learned, c, n, v = brute(rows)
-    pairs = collections.Counter(p for t in learned for p in zip(["^", *t], t))
-    before = collections.Counter(p for t in learned for p in ["^", *t[:-1]])
+    grams, before = collections.Counter(), collections.Counter()
+    for t in learned:
+        padded = ["^"] * (order - 1) + t
+        for i in range(len(t)):
+            for k in range(1, order):
+                context = tuple(padded[i + order - 1 - k : i + order - 1])
+                before[context] += 1
+                grams[(*context, t[i])] += 1
     for k, text, *_ in rows:
         t, total = [*words(text), None], 0.0
-        for h, w in zip(["^", *t], t):
-            mix = seen["w"][1 + int(math.log2(before[h])) if before[h] else 0]
-            p = mix[0] / (v + 1) + mix[1] * c[w] / n + (mix[2] * pairs[(h, w)] / before[h] if before[h] else 0)
+        padded = ["^"] * (order - 1) + t
+        for i, w in enumerate(t):
+            contexts = [tuple(padded[i + order - 1 - j : i + order - 1]) for j in range(1, order)]
+            cls = 0
+            for j, h in enumerate(contexts):
+                cls = j * lm.LEVELS + int(math.log2(before[h])) + 1 if before[h] else cls
+            mix = seen["w"][cls]
+            p = mix[0] / (v + 1) + mix[1] * c[w] / n + sum(mix[j + 2] * grams[(*h, w)] / before[h] for j, h in enumerate(contexts) if before[h])
             total += math.log10(p)
         assert got[k] == pytest.approx(total, abs=1e-9)
 
 
 def test_mixture_learns_from_set_aside_counts():
-    cells = np.array([[3, -4, -40], [3, -40, -4]])
-    weights = lm.mixture(cells, np.array([900, 100]), 2, 1e-9)
+    estimates = 2.0 ** np.array([[-1, -10], [-10, -1]])
+    weights = lm.mixture(np.array([3, 3]), estimates, np.array([900, 100]), 2, 1e-9)
     assert weights[3][1] > 0.8 and weights.sum(axis=1) == pytest.approx(1)
-    assert (lm.mixture(np.zeros((0, 3)), np.zeros(0), 2, 0.1) >= 0).all()
+    assert (lm.mixture(np.zeros(0), np.zeros((0, 2)), np.zeros(0), 2, 0.1) >= 0).all()
 
 
 def test_lm_of_an_empty_and_an_unlearned_table(spark):
@@ -155,9 +167,21 @@ def test_warc_round_trip(spark):
         want[(i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if first is not None else "response", first)] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()) == want
     assert {bytes(r.payload) for r in got.filter("page_id = 6").collect()} == {b"<html>" * 100_000}
+    narrow = got.drop("payload")
+    assert warc.checked(narrow).count() == got.count()
+    for bad in (narrow.withColumn("payload_bytes", F.when(F.col("record_type") == "revisit", 1).otherwise(F.col("payload_bytes"))), narrow.filter("NOT (record_type = 'response' AND page_id = 3)")):
+        with pytest.raises(Exception, match="no response that fits"):
+            warc.checked(bad).collect()
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_are_closed_at_a_size(spark):
+    path = new_path(spark, "rolled")
+    warc.write_archives(spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1), path, archive_bytes=300)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").count()
+    assert files > 3 and warc.read_archives(spark, path).count() == len(pages())
+
+
 def test_archive_layout(spark, tmp_path):
     path = new_path(spark, "layout")
     warc.write_archives(spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1), path)
