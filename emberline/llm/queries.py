@@ -24,6 +24,13 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def second_vocabulary() -> tuple[str, str]:
+    """The path and pattern of the byte-level vocabulary for many languages."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=0)
@@ -68,7 +75,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = quality.quality_rules(table(spark, sf_dir, "documents"), vocabulary())
+    rules = quality.quality_rules(table(spark, sf_dir, "documents"), vocabulary(), second=second_vocabulary())
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *quality.MEASURES)
 
 

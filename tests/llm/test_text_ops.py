@@ -365,6 +365,26 @@ def test_quality_judges_rare_languages_and_lengths(spark):
     assert sum(alone[k] for k in range(20)) >= 19 and not alone[20]
 
 
+def test_scripts_and_the_second_vocabulary():
+    texts = ["Plain text", "просто текст", "漢字かな", "한국어", "नमस्ते", "123 !?", None, "é", "עברית abc"]
+    assert quality.scripts(Words(pa.array(texts), lower=False)) == ["latin", "greek or cyrillic", "east asian", "hangul", "indic", "none", "none", "latin", "semitic"]
+    import public_tokenizers
+    import tiktoken
+
+    other = quality.byte_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert isinstance(other, tiktoken.Encoding) and other.decode(other.encode_ordinary("naïve <|endoftext|>")) == "naïve <|endoftext|>"
+
+
+def test_quality_of_a_rare_language_goes_by_its_script(spark):
+    """Cyrillic texts of a language with few texts are held against the other Cyrillic ones, not against Latin prose."""
+    clean, _ = prose_and_junk(8)
+    draw = random.Random(4)
+    cyrillic = lambda: " ".join("".join(draw.choice(["про", "сто", "на", "ние", "ко", "ть", "ра", "во"]) for _ in range(draw.randrange(1, 4))) for _ in range(200))
+    rows = [(k, clean(), "en") for k in range(60)] + [(100 + k, cyrillic(), "ru") for k in range(60)] + [(200, cyrillic(), "bg"), (201, clean(), "bg")]
+    got = kept_of(spark, rows)
+    assert got[200] and got[201] and sum(got[k] for k in range(100, 160)) >= 58
+
+
 def test_quality_bands_are_not_a_copied_text(spark):
     clean, junk = prose_and_junk(7)
     copy = clean()
