@@ -186,7 +186,7 @@ ORACLE_SQL: dict[str, str] = {
     "host_dispersion": f"WITH {WIN}, {DISP} SELECT jid, " + ", ".join(f"round(hostdisp_{m}_{s}, 4) AS hostdisp_{m}_{s}" if s != "cnt" else f"hostdisp_{m}_cnt" for m in ("cpuuser", "memused") for s in ("std", "min", "max", "cnt")) + " FROM disp",
     "job_meta_first": f"WITH {WIN}, {META} SELECT * FROM meta",
     "merge_partials": f"WITH {WIN} {part_stats('win', STATS, METRICS, 4).replace(' FROM win', ', count(*) AS rows, min(elapsed) AS tmin, max(elapsed) AS tmax FROM win')}",
-    "job_accumulators": f"WITH {WIN}, {META}, {DISP}, wide AS (SELECT jid, " + ", ".join([wide_shape(k) for k in range(len(PARTS))] + [wide_stat(m, s, k) for m in METRICS for k in range(len(PARTS)) for s in STATS]) + " FROM win GROUP BY jid) SELECT meta.*, wide.* EXCLUDE (jid), " + ", ".join(f"round(hostdisp_{m}_{s}, 4) AS hostdisp_{m}_{s}" if s != "cnt" else f"hostdisp_{m}_cnt" for m in DISPERSED for s in ("std", "min", "max", "cnt")) + " FROM wide JOIN meta USING (jid) LEFT JOIN disp USING (jid)",
+    "job_accumulators": f"WITH {WIN}, {META}, {DISP}, wide AS (SELECT jid, " + ", ".join([wide_shape(k) for k in range(len(PARTS))] + [wide_stat(m, s, k) for m in METRICS for k in range(len(PARTS)) for s in STATS]) + " FROM win GROUP BY jid) SELECT meta.*, wide.* EXCLUDE (jid), " + ", ".join(f"round(hostdisp_{m}_{s}, {4 if s == 'std' else 9}) AS hostdisp_{m}_{s}" if s != "cnt" else f"hostdisp_{m}_cnt" for m in DISPERSED for s in ("std", "min", "max", "cnt")) + " FROM wide JOIN meta USING (jid) LEFT JOIN disp USING (jid)",
     "raw_file_accumulators": f"WITH {TEL}, raw AS (SELECT * REPLACE (CASE CAST(substr(jid, 4) AS BIGINT) % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'C' ELSE 'Anvil' END AS cluster), CASE WHEN CAST(substr(jid, 4) AS BIGINT) % 7 = 0 THEN min(time_epoch) OVER (PARTITION BY jid) ELSE greatest(start_epoch, CASE CAST(substr(jid, 4) AS BIGINT) % 3 WHEN 1 THEN 10800.0 ELSE 7200.0 END) END AS anchor FROM tel), {windowed('raw')} SELECT jid, min(cluster) AS cluster, min(timelimit) AS timelimit, min(exitcode) AS exitcode, " + ", ".join([wide_shape(k) for k in range(len(PARTS))] + [wide_stat(m, s, k) for m in ("cpuuser", "nfs", "gpu") for k in range(len(PARTS)) for s in ("cnt", "sum", "min", "max")]) + " FROM win GROUP BY jid",
     "uncovered_jobs": f"WITH {WIN}, {SEEN} SELECT jid FROM unc",
     "first_seen": f"WITH {WIN}, {SEEN} SELECT * FROM seen",
