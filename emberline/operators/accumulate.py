@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from emberline.schema import BEFORE_START, DISPERSED, METRICS, NUMERIC, ORDER, PARTS, STATS, STRINGS, WINDOW
 
 
-HOST_ORDER = tuple(c for c in ORDER if c != "host")  # the order of a host's readings
-
-
 def with_anchor(rows: DataFrame, chunk_start: float | Column | None = None, all_started: bool = False) -> DataFrame:
     """Adds ``anchor``: the start, not before ``chunk_start``.
 
@@ -55,7 +52,8 @@ def window_rows(rows: DataFrame, chunk_start: float | Column | None = None, all_
     """The early window's readings, one per job, host and time, with their bucket; anchors as by ``with_anchor``.
 
     A column ``chunk_start`` of ``rows`` (see ``read_raw``) is used where no other is given. Readings
-    with a start are cut to the window before anything is shuffled.
+    with a start are cut to the window before anything is shuffled. They are dealt by job, once for all that follows: a
+    job has no more readings in its window than its hosts times the ticks of 35 minutes.
     """
     if chunk_start is None and "chunk_start" in rows.columns:
         chunk_start = F.col("chunk_start")
@@ -63,7 +61,7 @@ def window_rows(rows: DataFrame, chunk_start: float | Column | None = None, all_
         edge = F.col("start_epoch") if chunk_start is None else F.greatest("start_epoch", chunk_start if isinstance(chunk_start, Column) else F.lit(float(chunk_start)))
         rows = rows.filter(F.col("start_epoch").isNull() | (F.col("time_epoch") - edge).between(-BEFORE_START, WINDOW))
     inside = early_window(with_anchor(rows, chunk_start, all_started))
-    return most_complete(inside.repartition("jid", "host")).withColumn("part", bucket(F.col("elapsed")))
+    return most_complete(inside.repartition("jid")).withColumn("part", bucket(F.col("elapsed")))
 
 
 def _stat(metric: str, stat: str, when: Column | None = None) -> Column:
@@ -127,9 +125,9 @@ def widen(parts: DataFrame) -> DataFrame:
 
 
 def _stat_sql(metric: str, stat: str, inside: str) -> str:
-    """The SQL of one statistic of a metric over the readings that are ``inside``; edges as (order, value)."""
+    """The SQL of one statistic of a metric over the readings that are ``inside``; first and last skip nulls."""
     value = f"IF({inside}, {metric}, NULL)"
-    edge = f"IF({inside} AND {metric} IS NOT NULL, struct({', '.join(HOST_ORDER)}, {metric} AS v), NULL)"
+    edge = f"IF({inside} AND {metric} IS NOT NULL, struct({', '.join(ORDER)}, {metric} AS v), NULL)"
     return {
         "cnt": f"count({value})",
         "sum": f"coalesce(sum({value}), 0D)",
@@ -137,48 +135,36 @@ def _stat_sql(metric: str, stat: str, inside: str) -> str:
         "zero": f"count(IF({inside} AND {metric} = 0, 1, NULL))",
         "min": f"min({value})",
         "max": f"max({value})",
-        "first": f"min({edge})",
-        "last": f"max({edge})",
+        "first": f"min({edge}).v",
+        "last": f"max({edge}).v",
     }[stat]
 
 
-def _per_host(rows: DataFrame, meta: tuple[str, ...]) -> DataFrame:
-    """Per job and host, all that merges over hosts: each bucket's statistics, and the edges as (order, value)."""
-    out = []
-    for k, part in enumerate(PARTS):
-        inside = f"part = {k}"
-        out += [f"count(IF({inside}, 1, NULL)) AS rows_{part}", f"min(IF({inside}, elapsed, NULL)) AS tmin_{part}", f"max(IF({inside}, elapsed, NULL)) AS tmax_{part}"]
-        out += [f"{_stat_sql(m, s, inside)} AS {m}_{part}_{s}" for m in METRICS for s in STATS]
-    out += [f"{_stat_sql(c, 'first', 'true')} AS {c}" for c in meta]
-    return rows.groupBy("jid", "host").agg(*map(F.expr, out))
-
-
 def accumulators(rows: DataFrame, more: tuple[str, ...] = ("cluster", "month", "exitcode")) -> DataFrame:
     """One row per job from readings in the early window (see ``window_rows``): statistics, shape, dispersion, description.
 
-    Readings are reduced to one row per job and host, where they already lie after the window was
-    made, and these to one per job: the window is read once, and a job of many hosts is merged from their rows.
-    Null hosts count as readings and not as hosts. The aggregates are SQL text, each one call into the JVM.
+    The readings of a job already lie together, in order of host and time, after the window was made; what
+    is per host (a host's first reading, its first in a bucket, its mean) is marked on them in that order, and one
+    aggregate makes the row: the window is read once and not dealt again. Null hosts count as readings and
+    not as hosts. The aggregates are SQL text, each one call into the JVM.
     """
     meta = ("start_epoch", "submit_epoch", *NUMERIC, *STRINGS, *[c for c in more if c in rows.columns])
-    known = "host IS NOT NULL"
-
-    def edge(c: str, which: str) -> str:
-        order = ", ".join(f"{c}.elapsed AS o{k}" if o == "elapsed" else f"host AS o{k}" if o == "host" else f"{c}.{o} AS o{k}" for k, o in enumerate(ORDER))
-        return f"{which}(IF({c} IS NOT NULL, struct({order}, {c}.v AS v), NULL)).v AS {c}"
-
+    host = W.partitionBy("jid", "host")
+    by_time = host.orderBy("time_epoch")
+    marked = rows.withColumns({"__of_host": F.row_number().over(by_time), "__before": F.lag("part").over(by_time)} | {f"__mean_{m}": F.avg(m).over(host) for m in DISPERSED})
     out = []
-    for part in PARTS:
-        out += [f"sum(rows_{part}) AS rows_{part}", f"count(IF({known} AND rows_{part} > 0, 1, NULL)) AS hosts_{part}", f"min(tmin_{part}) AS tmin_{part}", f"max(tmax_{part}) AS tmax_{part}"]
-        for m in METRICS:
-            out += [f"sum({m}_{part}_{s}) AS {m}_{part}_{s}" for s in ("cnt", "sum", "sq", "zero")] + [f"{s}({m}_{part}_{s}) AS {m}_{part}_{s}" for s in ("min", "max")]
-            out += [edge(f"{m}_{part}_first", "min"), edge(f"{m}_{part}_last", "max")]
-    out += [edge(c, "min") for c in meta] + [f"count(IF({known}, 1, NULL)) AS n_hosts_seen"]
+    for k, part in enumerate(PARTS):
+        inside = f"part = {k}"
+        out += [f"count(IF({inside}, 1, NULL)) AS rows_{part}", f"count(IF({inside} AND host IS NOT NULL AND NOT (__before <=> {k}), 1, NULL)) AS hosts_{part}"]
+        out += [f"min(IF({inside}, elapsed, NULL)) AS tmin_{part}", f"max(IF({inside}, elapsed, NULL)) AS tmax_{part}"]
+        out += [f"{_stat_sql(m, s, inside)} AS {m}_{part}_{s}" for m in METRICS for s in STATS]
+    out += [f"{_stat_sql(c, 'first', 'true')} AS {c}" for c in meta]
+    first = "host IS NOT NULL AND __of_host = 1"
+    out.append(f"count(IF({first}, 1, NULL)) AS n_hosts_seen")
     for m in DISPERSED:
-        total, n = (" + ".join(f"{m}_{p}_{s}" for p in PARTS) for s in ("sum", "cnt"))
-        mean = f"IF({known}, ({total}) / nullif({n}, 0), NULL)"
+        mean = f"IF({first}, __mean_{m}, NULL)"
         out += [f"stddev_samp({mean}) AS hostdisp_{m}_std", f"min({mean}) AS hostdisp_{m}_min", f"max({mean}) AS hostdisp_{m}_max", f"count({mean}) AS hostdisp_{m}_cnt"]
-    return _per_host(rows, meta).groupBy("jid").agg(*map(F.expr, out))
+    return marked.groupBy("jid").agg(*map(F.expr, out))
 
 
 def merge_parts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -213,7 +199,7 @@ def first_seen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def fallback_rows(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Window readings of jobs anchored at their first reading instead of their start."""
     anchored = rows.join(seen, "jid").withColumn("anchor", F.col("first_seen")).drop("first_seen")
-    return most_complete(early_window(anchored).repartition("jid", "host")).withColumn("part", bucket(F.col("elapsed")))
+    return most_complete(early_window(anchored).repartition("jid")).withColumn("part", bucket(F.col("elapsed")))
 
 
 def prefer_strict(strict: DataFrame, fallback: DataFrame) -> DataFrame:
